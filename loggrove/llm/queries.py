@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, contamination, quality, secrets, tokenfile
+from . import bpe, common, contamination, linededup, quality, secrets, tokenfile
 
 
 def _vocabulary(name: str) -> str:
@@ -14,6 +14,11 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(common.table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
@@ -36,5 +41,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_bpe_codec, op7_token_files, op8_secret_scan, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_classifier, op5_bpe_codec, op7_token_files, op8_secret_scan, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.oracle(), "op10_decontamination": contamination.oracle()}

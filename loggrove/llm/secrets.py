@@ -125,6 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelt
 
 def digests(docs: DataFrame, **options) -> DataFrame:
     found = scan(docs, **options)
-    n = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    n = [count(k) for k in KINDS[:3]]
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", *n, F.sha2(text(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
