@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, contamination, linededup, quality, secrets, tokenfile
+from . import bpe, common, contamination, linededup, quality, secrets, suffixdedup, tokenfile
 
 
 def _vocabulary(name: str) -> str:
@@ -29,6 +29,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove(common.table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(common.table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2))
 
@@ -41,5 +45,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_classifier, op5_bpe_codec, op7_token_files, op8_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_classifier, op5_bpe_codec, op6_suffix_dedup, op7_token_files, op8_secret_scan, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.oracle(), "op10_decontamination": contamination.oracle()}
