@@ -39,10 +39,10 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts, byte ends and 64-bit hashes of the words of raw bytes (lower-cased here)."""
-    low = LOWER[raw]
-    inside = WORD[low]
+def words(raw: np.ndarray, lower: np.ndarray = LOWER, word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, byte ends and 64-bit hashes of the words of raw bytes (mapped by lower; word says which bytes belong to one)."""
+    low = lower[raw]
+    inside = word[low]
     edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):

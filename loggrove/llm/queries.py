@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, contamination, linededup, quality, secrets, suffixdedup, tokenfile
+from . import bpe, common, contamination, linededup, neardup, quality, secrets, suffixdedup, tokenfile, vectors
 
 
 def _vocabulary(name: str) -> str:
@@ -19,6 +19,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(common.table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
@@ -41,9 +45,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(common.table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(common.table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_classifier, op5_bpe_codec, op6_suffix_dedup, op7_token_files, op8_secret_scan, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.oracle(), "op10_decontamination": contamination.oracle()}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op5_bpe_codec, op6_suffix_dedup, op7_token_files, op8_secret_scan, op9_embedding_near_dedup, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.oracle(), "op10_decontamination": contamination.oracle(), "op9_embedding_near_dedup": vectors.oracle()}
