@@ -318,8 +318,8 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass over the texts, without a shuffle; no ids travel."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encodes and decodes in one pass over the texts, without a shuffle."""
     held = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,12 +327,15 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for piece in common.pieces(batch):
                 ids, counts = enc.encode(piece.column(1).to_pylist())
-                ids_sha, text_sha, at = [], [], 0
+                ids_sha, text_sha, raw, at = [], [], [], 0
                 for n in counts.tolist():
                     own = ids[at : at + n]
                     at += n
-                    ids_sha.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                    data = own.astype("<u4").tobytes()
+                    raw.append(data if with_ids else b"")
+                    ids_sha.append(hashlib.sha256(data).hexdigest())
                     text_sha.append(hashlib.sha256(enc.decode(own).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out = [piece.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out[: 4 + with_ids], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
-    return common.as_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.as_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

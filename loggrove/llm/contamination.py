@@ -213,8 +213,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list
     return [*out, now] if now or not out else out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans[, text]) of every row of docs.
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans[, text, *keep]) of every row of docs.
 
     items: ids of items with an occurring window, as sorted distinct strings. spans: merged hit words as (start, end) in
     characters of the text, end exclusive. Null and empty texts have no words and no hits; an empty benchmark hits nothing;
@@ -254,18 +254,23 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
                         s = len(own[: int(starts[h]) - zero].decode())
                         spans[d].append({"start": s, "end": s + len(own[int(starts[h]) - zero : int(ends[t]) - zero].decode())})
                 out = [piece.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-                yield pa.RecordBatch.from_arrays(out + [piece.column(1)] * carry, names=["doc_id", "n_words", "n_hit", "items", "spans"] + ["text"] * carry)
-
-    made = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>" + ", text string" * carry
-    return common.as_texts(docs, id_col, text_col).mapInArrow(run, made)
-
-
-def cut_spans(text: str, spans: list) -> str:
-    out, at = [], 0
-    for s in spans:
-        out.append(text[at : s["start"]])
-        at = s["end"]
-    return "".join([*out, text[at:]])
+                yield pa.RecordBatch.from_arrays(out + (piece.columns[1:] if keep is not None else []), names=made.names)
+
+    made = common.schema("doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(keep or ()))
+    if keep is not None:
+        for f in base.schema.fields[1:]:
+            made = made.add(f.name, f.dataType)
+    return base.mapInArrow(run, made)
+
+
+def cut(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """(doc_id, text, *keep): every row of docs with its merged removal spans cut out of the text."""
+    found = find(docs, benchmark, keep=keep, **options)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).alias("out"))
+    rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])))
+    return found.select("doc_id", F.when(F.size("spans") > 0, rest).otherwise(F.col("text")).alias("text"), *keep)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

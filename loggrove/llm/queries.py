@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, contamination, linededup, neardup, quality, secrets, suffixdedup, tokenfile, vectors
+from . import bpe, common, contamination, linededup, neardup, pii, quality, secrets, suffixdedup, tokenfile, vectors
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -29,8 +29,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(common.table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return bpe.digests(common.table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.read(tokenfile.write(common.table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2))
+    return tokenfile.read(tokenfile.write(common.table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=2))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +57,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op5_bpe_codec, op6_suffix_dedup, op7_token_files, op8_secret_scan, op9_embedding_near_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_pii, op5_bpe_codec, op6_suffix_dedup, op7_token_files, op8_secret_scan, op9_embedding_near_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.oracle(), "op10_decontamination": contamination.oracle(), "op9_embedding_near_dedup": vectors.oracle()}
