@@ -7,9 +7,10 @@ agree in a register with the probability Jaccard similarity of their shingles. S
 agree in a band are candidates; candidates are verified by their exact similarity; links are united.
 
 Documents with equal multisets are one node from the start (a group of copies costs one row). In a band, each node is first
-paired with one hub only. Where nodes of a band are then still in different components, further hubs follow, and finally
-every pair of such nodes that hasn't been compared: no candidate link between components is left out, yet a group of
-thousands of near copies costs some rows for each member, not for each pair.
+paired with one hub only. Where nodes of a band are then still in different components, a second hub follows, and finally
+every pair of such nodes: in a small band as rows, in a large one in blocks, by an inverted index of the shingles of a block,
+which return the links between components alone. So no candidate link between components is left out, yet a group of
+thousands of near copies makes some rows for each member, not for each pair.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from .contamination import words
 SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 4 registers: a pair of similarity 0.8 is missed with probability 3e-5.
 BANDS, BAND = 20, 4
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Members up to which the rest of a band is compared as pairs, and members of a block of a larger one.
+SMALL, BLOCK = 16, 1024
 SAME = np.arange(256, dtype=np.uint8)
 BLACK = ~np.isin(SAME, [9, 10, 11, 12, 13, 32])
 STEP = 0x9E3779B97F4A7C15
@@ -120,7 +123,7 @@ def _identities(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> l
     return out
 
 
-def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, hub_rounds: int = HUB_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, hub_rounds: int = HUB_ROUNDS, small: int = SMALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, kept) of each row: class_id is the smallest doc_id that is reachable by links of `similar` or more.
 
     Texts without words (null, empty, white space) link with nothing: each is its own class. Rows of one id count as the
@@ -145,8 +148,8 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
     signed = common.stored(texts.mapInArrow(sign, "doc_id long, node binary, bands array<long>"), "neardup-signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
     members = common.stored(nodes.select("node", "doc_id", F.explode("bands").alias("band")), "neardup-bands")
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = common.stored(members.join(shared, "band").select("band", "node", "doc_id"), "neardup-members")
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = common.stored(members.join(shared, "band").select("band", "n", "node", "doc_id"), "neardup-members")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +184,13 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
         full = right.join(weighed.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa")), "a")
         return common.stored(full.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(verify, "a binary, b binary, linked boolean"), name)
 
-    done = None
+    done, more = None, None
     for k in range(hub_rounds + 1):
         if done is None:
-            open_ = members.select("band", "node", F.col("node").alias("component"))
+            open_ = members.select("band", "n", "node", F.col("node").alias("component"))
         else:
             united = components_of(done, f"neardup-{k}")
-            open_ = members.join(united, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+            open_ = members.where("n > 2").join(united, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component"))
             several = open_.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
             open_ = common.stored(open_.join(several, "band"), f"neardup-open-{k}")
             if open_.isEmpty():
@@ -198,13 +201,17 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
             hubs = open_.groupBy("band").agg(F.min(rank).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"))
             pairs = open_.join(hubs, "band").where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            other = open_.select("band", F.col("node").alias("b"), F.col("component").alias("c"))
-            pairs = open_.join(other, "band").where("component < c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+            few = open_.where(F.col("n") <= small)
+            other = few.select("band", F.col("node").alias("b"), F.col("component").alias("c"))
+            pairs = few.join(other, "band").where("component < c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+            more = in_blocks(open_.where(F.col("n") > small), weighed, similar, block)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         new = verified(pairs, f"neardup-verified-{k}")
         done = new if done is None else done.unionByName(new)
+    if more is not None:
+        done = done.unionByName(more)
     united = components_of(done, "neardup-end")
     placed = nodes.select("node", "doc_id").join(united, "node", "left").select("node", F.col("doc_id").alias("least"), F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("least").alias("class_id"))
@@ -214,5 +221,62 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def crossing(sets: list[np.ndarray], weights: list[np.ndarray], component: list, side: np.ndarray, first: int, second: int, similar: float) -> list[tuple[int, int]]:
+    """Links of `similar` or more between rows of side first and rows of side second, as many as join different components."""
+    label = np.unique(np.array(component, dtype=object), return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    plain = np.array([w.max() == 1 for w in weights])
+    total = np.array([w.sum() for w in weights], dtype=float)
+    # rows of the largest component first, against the rest alone; then the rest against all
+    most = np.bincount(label).argmax()
+    out = []
+    for inner in (True, False):
+        mine = np.flatnonzero((side == first) & ((label == most) == inner))
+        others = np.flatnonzero((side == second) & (label != most)) if inner else np.flatnonzero(side == second)
+        if not len(mine) or not len(others):
+            continue
+        rows = np.repeat(others, size[others])
+        h = np.concatenate([sets[i] for i in others])
+        order = np.argsort(h, kind="stable")
+        h, rows = h[order], rows[order]
+        for i in mine.tolist():
+            open_ = label != label[i]
+            if not open_[others].any():
+                continue
+            low, high = np.searchsorted(h, sets[i], "left"), np.searchsorted(h, sets[i], "right")
+            n = high - low
+            met = rows[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            both = np.bincount(met, minlength=len(sets))
+            sure = open_ & plain & plain[i] & (both >= similar * (size[i] + size - both))
+            # with weights, the similarity is at most the weight of what both have in either
+            perhaps = np.zeros(0, np.int64)
+            if not (plain.all() or (plain[i] and plain[others].all())):
+                share = np.bincount(met, np.repeat(weights[i], n), minlength=len(sets)) / total[i]
+                perhaps = np.flatnonzero(open_ & ~(plain & plain[i]) & (share >= similar - 1e-9))
+            for j in [*np.flatnonzero(sure).tolist(), *perhaps.tolist()]:
+                if label[i] != label[j] and (sure[j] or similarity((sets[i], weights[i]), (sets[j], weights[j])) >= similar):
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+                    out.append((i, j))
+    return out
+
+
+def in_blocks(open_: DataFrame, weighed: DataFrame, similar: float, block: int) -> DataFrame:
+    """(a, b, linked) for the links between components within each large band; its members are dealt in pairs of blocks."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = open_.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component").join(weighed, "node")
+
+    def within(key, table):
+        _, i, j = (k.as_py() for k in key)
+        node = table.column("node").to_pylist()
+        sets = [np.frombuffer(x, "<u8") for x in table.column("h").to_pylist()]
+        weights = [np.frombuffer(w, "<u4") if w else np.ones(len(x), np.uint32) for x, w in zip(sets, table.column("w").to_pylist())]
+        side = np.array(table.column("side").to_pylist())
+        out = crossing(sets, weights, table.column("component").to_pylist(), side, i, j, similar) if (side == i).any() and (side == j).any() else []
+        return pa.table({"a": pa.array([node[x] for x, _ in out], pa.binary()), "b": pa.array([node[y] for _, y in out], pa.binary()), "linked": pa.array([True] * len(out), pa.bool_())})
+
+    return common.stored(dealt.groupBy("band", "i", "j").applyInArrow(within, "a binary, b binary, linked boolean"), "neardup-blocks")
+
+
 def components_of(done: DataFrame, name: str) -> DataFrame:
     return common.components(done.where("linked").select("a", "b"), name)
