@@ -77,14 +77,62 @@ def least(*columns: str | Column) -> Column:
     return F.least(*columns)
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+#: Edges that one task unites (each at most two nodes of some 16 bytes).
+ONE_TASK_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a task's edges (u, v): an edge (node, smallest node of its tree) for each node but the smallest."""
+    parent: dict = {}
+    names = None
+    for batch in batches:
+        names = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            roots = []
+            for x in (a, b):
+                r = x
+                while (up := parent.setdefault(r, r)) != r:
+                    r = up
+                while parent[x] != r:
+                    parent[x], x = r, parent[x]
+                roots.append(r)
+            low, high = min(roots), max(roots)
+            parent[high] = low
+        if len(parent) > 2 * ONE_TASK_EDGES:  # bounded memory: what is known so far goes out as it is
+            yield from _edges(parent, names)
+            parent = {}
+    if parent:
+        yield from _edges(parent, names)
+
+
+def _edges(parent: dict, names: pa.Schema) -> Iterator[pa.RecordBatch]:
+    u, v = [], []
+    for x in parent:
+        r = x
+        while parent[r] != r:
+            r = parent[r]
+        if r != x:
+            u.append(x), v.append(r)
+    yield pa.RecordBatch.from_arrays([pa.array(u, names.field(0).type), pa.array(v, names.field(1).type)], schema=names)
+
+
+def components(edges: DataFrame, name: str, one_task_edges: int = ONE_TASK_EDGES, most_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node that is reachable from node; only nodes of edges (a, b) appear.
 
-    Alternating large-star and small-star rounds: each shuffles one row for each edge, keeps no list of a node's neighbours
-    (a window minimum replaces it, aggregated map-side first), and the edge table is written between rounds. Links of a node
-    with a third of all rows are dealt by their other end wherever that can be done.
+    Each task first turns its edges into a spanning forest, without a shuffle. If one_task_edges or fewer are left in all, one
+    task unites them. Otherwise large-star and small-star rounds follow: each shuffles a row for each edge, keeps no list of a
+    node's neighbours (a minimum, aggregated map-side first, replaces it), and the edge table is written between rounds.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    now = stored(now.mapInArrow(_forest, now.schema), f"{name}-edges")
+    if now.count() <= one_task_edges:
+        now = stored(now.repartition(1).mapInArrow(_forest, now.schema), f"{name}-united")
+    else:
+        now = _rounds(now, name, most_rounds)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _rounds(now: DataFrame, name: str, most_rounds: int) -> DataFrame:
     before = None
     for k in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -97,8 +145,6 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         now = stored(small, f"{name}-{k}")
         mark = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if mark == before:
-            break
+            return now
         before = mark
-    else:
-        raise RuntimeError(f"components of {name} need more than {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components of {name} need more than {most_rounds} rounds")

@@ -275,7 +275,7 @@ def in_blocks(open_: DataFrame, weighed: DataFrame, similar: float, block: int)
         out = crossing(sets, weights, table.column("component").to_pylist(), side, i, j, similar) if (side == i).any() and (side == j).any() else []
         return pa.table({"a": pa.array([node[x] for x, _ in out], pa.binary()), "b": pa.array([node[y] for _, y in out], pa.binary()), "linked": pa.array([True] * len(out), pa.bool_())})
 
-    return common.stored(dealt.groupBy("band", "i", "j").applyInArrow(within, "a binary, b binary, linked boolean"), "neardup-blocks")
+    return common.stored(dealt.repartition(common.parts(dealt.sparkSession), "band", "i", "j").groupBy("band", "i", "j").applyInArrow(within, "a binary, b binary, linked boolean"), "neardup-blocks")
 
 
 def components_of(done: DataFrame, name: str) -> DataFrame:
