@@ -2,7 +2,8 @@
 
 Base kinds (email, ip, card, phone) are found by pattern. They seed a graph: an instance is a token that looks like an
 identifier (an @, or four digits or more), a pattern is the word before it. A pattern's confidence is the confidence of its
-instances, weighted by occurrence, over all occurrences of its word in the corpus; an instance's is that of at least one of
+instances, weighted by occurrence, over all occurrences of its word in the corpus (identifiers not known to be personal
+count half against it); an instance's is that of at least one of
 its patterns being right (seeds: 1). After some rounds, identifiers behind confident patterns are found too.
 
 A pattern whose occurrences mostly precede no identifier can't become confident whatever its instances are, so it leaves
@@ -28,6 +29,8 @@ IP_VALID = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9
 TOKEN = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){4})\S++"
 #: Rounds of scoring, confidence from which a pattern and an instance count, distinct instances that a pattern needs, and what is added to its occurrences.
 ROUNDS, CONFIDENT, SUPPORT, PRIOR = 3, 0.5, 3, 2.0
+#: Share of an identifier of unknown kind that counts against its pattern (an occurrence before no identifier counts wholly).
+UNKNOWN = 0.5
 DIGITS = 4
 
 
@@ -108,10 +111,10 @@ def patterns(cands: DataFrame, texts: DataFrame, name: str = "pii") -> tuple[Dat
     edges = common.stored(edges.join(viable, "p"), f"{name}-graph")
     confidence = edges.groupBy("inst").agg(F.max("seed").cast("double").alias("c"))
     for k in range(ROUNDS):
-        scored = edges.join(confidence, "inst").groupBy("p").agg((F.sum(F.col("n") * F.col("c")) / F.max("out_of")).alias("score"), F.sum((F.col("c") >= CONFIDENT).cast("long")).alias("support"))
+        scored = edges.join(confidence, "inst").groupBy("p").agg((F.sum(F.col("n") * F.col("c")) / (F.max("out_of") - (1 - UNKNOWN) * F.sum(F.col("n") * (1 - F.col("c"))))).alias("score"), F.sum((F.col("c") >= CONFIDENT).cast("long")).alias("support"))
         good = common.stored(scored.where((F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT)), f"{name}-patterns-{k}")
-        miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
-        confidence = edges.join(good, "p", "left").groupBy("inst").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(1 - miss, F.lit(0.0))).alias("c"))
+        miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("score", F.lit(0.0))))))
+        confidence = edges.join(good, "p", "left").groupBy("inst").agg(F.greatest(F.max("seed").cast("double"), 1 - miss).alias("c"))
         confidence = common.stored(confidence, f"{name}-instances-{k}")
     return good.select("p"), confidence.where(F.col("c") >= CONFIDENT).select("inst")
 
