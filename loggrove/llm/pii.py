@@ -20,10 +20,11 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base kinds. A match starts where a run of its characters does, or at the end of the one before; runs
-#: that nothing could shorten are possessive. Neither changes what matches, both keep long runs from being tried again and again.
+#: that nothing could shorten are possessive; digits that are too few for a card are passed over. None of it changes what is
+#: found, all of it keeps long runs from being tried again and again.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
+CARD = r"(?:\G|(?<![0-9]))(?=[0-9](?:[\x20-]?[0-9]){11})[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_VALID = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 TOKEN = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){4})\S++"
@@ -32,6 +33,8 @@ ROUNDS, CONFIDENT, SUPPORT, PRIOR = 3, 0.5, 3, 2.0
 #: Share of an identifier of unknown kind that counts against its pattern (an occurrence before no identifier counts wholly).
 UNKNOWN = 0.5
 DIGITS = 4
+#: Matches of a text that are placed together.
+SLICE = 256
 
 
 def placed(text: Column, pattern: str, may: Column) -> Column:
@@ -44,7 +47,17 @@ def placed(text: Column, pattern: str, may: Column) -> Column:
         (acc["at"] + F.length(x["before"]) + F.length(x["m"])).cast("int").alias("at"),
         F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + F.length(x["before"])).cast("int").alias("start"), x["before"].alias("before")))).alias("out"),
     )
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    # sums within slices of SLICE matches, then over the slices: growing one array by one would copy it as often as it has matches
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    after = lambda acc, x: F.struct((acc["at"] + x["at"]).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    slices = _let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(p), F.lit(SLICE)).cast("int")), lambda k: F.aggregate(F.slice(p, k * SLICE + 1, SLICE), start, step)))
+    moved = lambda x, o: F.transform(x["out"], lambda t: F.struct(t["m"].alias("m"), (t["start"] + o).cast("int").alias("start"), t["before"].alias("before")))
+    return _let(slices, lambda s: F.flatten(F.zip_with(s, F.aggregate(s, first, after, lambda acc: acc["out"]), moved)))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), where value is computed once: inside a function of an array, a column's expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), lambda v: then(v)), 1)
 
 
 def _digits(m: Column) -> Column:
