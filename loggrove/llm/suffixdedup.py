@@ -404,7 +404,7 @@ def remove(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col
 
     Null and empty texts have no bytes; texts shorter than `least` lose none. Rows with neither another id nor another text
     count as one document and get the same result; rows of one id with other texts are ordered by a hash of the text; rows
-    without an id come first. Texts are shuffled once, the exchange serves both joins.
+    without an id come first. Texts are shuffled twice, once for each join.
     """
     base = common.as_texts(docs, id_col, text_col)
     repeated = not base.groupBy(F.coalesce("doc_id", F.lit(0))).count().where("count > 1").isEmpty()
