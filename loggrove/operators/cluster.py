@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.query import Query
 from ..plans.stats import SearchStats
-from ..schema import normalise
+from ..schema import LOG_SCHEMA, normalise
 from ..sources.manifest import Manifest
 from ..sources.table import LogStorage, LogTable
 from .routing import Policy, route
@@ -36,28 +37,35 @@ class ClusterTable(LogStorage):
     """A strict query fails if a root is down; one that allows partial answers says that it is partial. Never silently less."""
 
     def __init__(self, spark: SparkSession, roots: list[str], policy: Policy = Policy.HYBRID, threshold: int = 1000, **options):
+        self.spark, self._staged = spark, []
         self.nodes = [LogTable(spark, r, **options) for r in roots]
         self.policy, self.threshold = policy, threshold
         self.rerouted = 0
 
     def add_rows(self, rows: DataFrame) -> None:
-        routed = route(normalise(rows), len(self.nodes), self.policy, threshold=self.threshold)
+        """Routes rows once and stages them by node, for a route that is drawn at random must not be computed for each node anew."""
         up = [k for k in range(len(self.nodes)) if self.available(k)]
         if not up:
             raise NodesUnavailable([n.root for n in self.nodes], SearchStats(nodes_queried=len(self.nodes), nodes_failed=len(self.nodes)))
-        for k, node in enumerate(self.nodes):
-            own = routed.where(F.col("node") == k).drop("node")
-            if k in up:
-                node.add_rows(own)
-            else:  # spread over those that are up
-                self.rerouted += 1
-                share = own.withColumn("to", F.floor(F.rand(k) * len(up)))
-                for i, u in enumerate(up):
-                    self.nodes[u].add_rows(share.where(F.col("to") == i).drop("to"))
+        routed = route(normalise(rows), len(self.nodes), self.policy, threshold=self.threshold)
+        if len(up) < len(self.nodes):  # rows of those that are down spread over the others
+            self.rerouted += len(self.nodes) - len(up)
+            other = F.element_at(F.array(*map(F.lit, up)), (F.floor(F.rand(2) * len(up)) + 1).cast("int"))
+            routed = routed.withColumn("node", F.when(F.col("node").isin(up), F.col("node")).otherwise(other))
+        at = f"{self.nodes[up[0]].root}/staged/{uuid.uuid4().hex}"
+        routed.write.partitionBy("node").option("compression", "zstd").parquet(at)
+        self._staged.append((up[0], at))
+        files = self.nodes[up[0]].files
+        for k in up:
+            if files.exists(f"{at}/node={k}"):
+                self.nodes[k].add_rows(self.spark.read.schema(LOG_SCHEMA).parquet(f"{at}/node={k}"))
 
     def flush(self) -> None:
         for node in self.nodes:
             node.flush()
+        staged, self._staged = self._staged, []
+        for k, at in staged:
+            self.nodes[k].files.delete(at)
 
     def available(self, k: int) -> bool:
         node = self.nodes[k]
@@ -83,6 +91,12 @@ class ClusterTable(LogStorage):
     def search(self, query: Query) -> DataFrame:
         return self.ask(query).rows
 
+    def explain(self, query: Query) -> SearchStats:
+        """What the roots that are up count, and how many are down."""
+        up = [k for k in range(len(self.nodes)) if self.available(k)]
+        down = len(self.nodes) - len(up)
+        return reduce(SearchStats.merge, [self.nodes[k].explain(query) for k in up], SearchStats(nodes_queried=down, nodes_failed=down))
+
     def close(self) -> None:
         for node in self.nodes:
             node.close()

@@ -17,17 +17,27 @@ class Policy(Enum):
     STICKY = "sticky"
     SPRAY = "spray"
 
+    def __str__(self) -> str:
+        return self.value
+
 
 def route(rows: DataFrame, nodes: int, policy: Policy = Policy.HYBRID, stream: str = "stream_id", arrival: list[str] | None = None, threshold: int = STICKY_ROWS, spray: Column | None = None) -> DataFrame:
-    """rows with node. Hybrid: the first threshold rows of a stream stay together, the rest spread; arrival orders a stream's rows."""
+    """rows with node. Hybrid: the first threshold rows of a stream stay together, the rest spread.
+
+    Each input partition is a client that counts for itself, so a hot stream is counted in as many tasks as it arrives in.
+    With arrival, a stream's rows are counted as a whole in that order, which puts a stream in one task.
+    """
     spray = spray if spray is not None else F.floor(F.rand(1) * nodes).cast("int")
     own = sticky(F.col(stream), nodes)
     if policy is Policy.STICKY:
         return rows.withColumn("node", own)
     if policy is Policy.SPRAY:
         return rows.withColumn("node", spray)
-    n = F.row_number().over(Window.partitionBy(stream).orderBy(*(arrival or ["ts_ns"])))
-    return rows.withColumn("node", F.when(n <= threshold, own).otherwise(spray))
+    if arrival:
+        n = F.row_number().over(Window.partitionBy(stream).orderBy(*arrival))
+        return rows.withColumn("node", F.when(n <= threshold, own).otherwise(spray))
+    n = F.row_number().over(Window.partitionBy(stream, "__client").orderBy("ts_ns"))
+    return rows.withColumn("__client", F.spark_partition_id()).withColumn("node", F.when(n <= threshold, own).otherwise(spray)).drop("__client")
 
 
 def balance(routed: DataFrame, nodes: int) -> DataFrame:

@@ -19,6 +19,12 @@ class SearchStats:
     rows_matched: int = 0
     nodes_queried: int = 0
     nodes_failed: int = 0
+    rows_scanned: int = 0
+    #: Blocks that the token index let through, and those of them with a row that matches.
+    token_maybe: int = 0
+    token_true: int = 0
+    #: Size of the opened parts' files: what a search reads at most.
+    bytes_opened: int = 0
 
     def merge(self, other: SearchStats) -> SearchStats:
         return SearchStats(*(getattr(self, f.name) + getattr(other, f.name) for f in fields(self)))
@@ -31,6 +37,18 @@ class SearchStats:
     def skip_ratio(self) -> float:
         return 1 - self.blocks_scanned / self.blocks_total if self.blocks_total else 0.0
 
+    @property
+    def token_false_positives(self) -> int:
+        return self.token_maybe - self.token_true
+
+    def __str__(self) -> str:
+        nodes = f"; nodes {self.nodes_queried - self.nodes_failed} of {self.nodes_queried}{', partial' if self.is_partial else ''}" if self.nodes_queried else ""
+        return (
+            f"days {self.partitions_opened} of {self.partitions_total}; parts {self.parts_opened} of {self.parts_total}; blocks {self.blocks_scanned} of {self.blocks_total}"
+            f" (by time -{self.blocks_skipped_by_time}, by stream -{self.blocks_skipped_by_stream}, by token -{self.blocks_skipped_by_token}; {self.skip_ratio:.2%} skipped);"
+            f" index {self.token_true} right, {self.token_false_positives} wrong; rows {self.rows_matched} of {self.rows_scanned}; {self.bytes_opened / 2**20:.1f} MiB{nodes}"
+        )
+
     def as_dict(self) -> dict[str, int]:
         return asdict(self)
 
@@ -42,6 +60,9 @@ class GlobalStats:
     bytes_written: int = 0
     bytes_flushed: int = 0
 
+    def reset(self) -> None:
+        self.__init__()
+
     @property
     def write_amplification(self) -> float:
         return self.bytes_written / self.bytes_flushed if self.bytes_flushed else 0.0

@@ -18,6 +18,7 @@ from ..functions.tokens import distinct_tokens
 from ..plans.query import Query
 from ..plans.stats import GlobalStats, SearchStats
 from ..schema import BLOCK_ROWS, LOG_SCHEMA, canonical, day_of, logical_bytes, normalise, unsigned
+from . import jsonrows
 from .manifest import Conflict, Files, Manifest, Part
 
 DATA = T.StructType([*LOG_SCHEMA.fields, T.StructField("block", T.LongType()), T.StructField("part", T.StringType()), T.StructField("day", T.LongType())])
@@ -39,6 +40,18 @@ class LogStorage(ABC):
     @abstractmethod
     def search(self, query: Query) -> DataFrame: ...
 
+    @abstractmethod
+    def explain(self, query: Query) -> SearchStats: ...
+
+    def insert_json(self, texts: DataFrame, column: str = "value") -> None:
+        """Adds rows from JSON texts (an object or an array of them); a text that isn't valid fails the flush as a whole."""
+        self.add_rows(jsonrows.parse(texts, column))
+
+    def select_json(self, query: str) -> tuple[DataFrame, SearchStats]:
+        """A search whose query and rows are JSON: rows in canonical order (column value), and what explain() counts."""
+        asked = Query.from_json(query)
+        return jsonrows.render(self.search(asked)), self.explain(asked)
+
     @abstractmethod
     def close(self) -> None: ...
 
@@ -68,7 +81,7 @@ class LogTable(LogStorage):
             return
         rows, self._waiting = reduce(DataFrame.unionByName, self._waiting), []
         new = self._write(rows)
-        self.stats.logical_bytes += self._rows(new).agg(F.coalesce(F.sum(logical_bytes()), F.lit(0)).alias("n")).first().n
+        self.stats.logical_bytes += sum(p.logical_bytes for p in new)
         written = sum(self.files.bytes(self._at("data", p)) for p in new)
         self.stats.bytes_flushed += written
         self.stats.bytes_written += written
@@ -97,13 +110,16 @@ class LogTable(LogStorage):
         written = self._rows([Part(name, d, 0, 0, 0, 0, False) for d in days])
         if self.index:
             self._write_index(written, name)
-        by_day = written.groupBy("day").agg(F.count("*").alias("rows"), F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"), F.countDistinct("stream_id", "block").alias("blocks")).collect()
-        return [Part(name, r.day, r.rows, r.blocks, r.lo, r.hi, self.index) for r in by_day]
+        heads = written.groupBy("day", "stream_id", "block").agg(F.count("*").alias("n"), F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"), F.sum(logical_bytes()).alias("size"))
+        by_day = heads.groupBy("day").agg(F.sum("n").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("blocks"), F.sum("size").alias("size")).collect()
+        return [Part(name, r.day, r.rows, r.blocks, r.lo, r.hi, self.index, r.size) for r in by_day]
 
     def _write_index(self, written: DataFrame, name: str) -> None:
         """Distinct tokens of each column and block, sorted by token, with a bloom filter: a lookup is an equality that Parquet itself skips by."""
         each = written.select("day", "stream_id", "block", F.explode("fields").alias("name", "value")).select("day", "stream_id", "block", "name", F.explode(distinct_tokens("value")).alias("token")).distinct()
-        each.repartition("day").sortWithinPartitions("day", "name", "token").write.partitionBy("day").option("compression", "zstd").option("parquet.bloom.filter.enabled#token", "true").parquet(f"{self.root}/index/part={name}")
+        # ranges, not days: one day may be most of a flush, and a file that covers few tokens is skipped by its footer
+        keys = ["day", "name", "token"]
+        each.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("day").option("compression", "zstd").option("parquet.bloom.filter.enabled#token", "true").parquet(f"{self.root}/index/part={name}")
 
     def _publish(self, change) -> None:
         for _ in range(20):
@@ -212,16 +228,22 @@ class LogTable(LogStorage):
         return query.first(self.matching(query))
 
     def explain(self, query: Query) -> SearchStats:
-        """Counts what search() opens, skips and finds (it runs the search)."""
+        """Counts what search() opens, skips and finds, in one job (it scans the parts of the query's time)."""
         live, parts = self._pruned(query)
         total = sum(p.blocks for p in live)
-        blocks = self._rows(parts).groupBy(*KEYS).agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"))
-        in_time = blocks.where((F.col("lo") <= query.max_ts) & (F.col("hi") >= query.min_ts))
-        in_stream = in_time if query.stream_id is None else in_time.where(query.predicate_stream())
+        blocks = self._rows(parts).groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"), F.sum(query.predicate(with_day=True).cast("long")).alias("hits"))
         chosen = self.candidates(query, parts)
-        left = in_stream if chosen is None else in_stream.join(chosen, KEYS, "left_semi")
-        t, s, n = in_time.count(), in_stream.count(), left.count()
-        return SearchStats(len({p.day for p in live}), len({p.day for p in parts}), len(live), len(parts), total, total - t, t - s, s - n, n, self.matching(query).count(), 1, 0)
+        marked = blocks.withColumn("chosen", F.lit(True)) if chosen is None else blocks.join(chosen.withColumn("chosen", F.lit(True)), KEYS, "left")
+        in_time = (F.col("lo") <= query.max_ts) & (F.col("hi") >= query.min_ts)
+        in_stream = in_time & query.predicate_stream()
+        left = in_stream & F.coalesce("chosen", F.lit(False))
+        of = lambda condition, value=F.lit(1): F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("long")
+        c = marked.agg(of(in_time).alias("t"), of(in_stream).alias("s"), of(left).alias("n"), of(left, F.col("n")).alias("rows"), of(left, F.col("hits")).alias("hits"), of(left & (F.col("hits") > 0)).alias("true")).first()
+        asked = c.n if query.filters else 0
+        return SearchStats(
+            len({p.day for p in live}), len({p.day for p in parts}), len(live), len(parts), total, total - c.t, c.t - c.s, c.s - c.n, c.n, c.hits, 1, 0,
+            rows_scanned=c.rows, token_maybe=asked, token_true=c.true if query.filters else 0, bytes_opened=sum(self.files.bytes(self._at("data", p)) for p in parts),
+        )
 
 
 def ordered(rows: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """The forwarder: a durable spool of row batches, and a streaming query with its own checkpoint for each destination.
 
 Delivery is at least once: a batch whose query dies between sending and committing is sent again. An outage of one
-destination doesn't hold back another. The spool may be bounded: the oldest files go first, and are counted.
+destination doesn't hold back another. The spool may be bounded: files that every destination has taken go first, and only
+then the oldest of the rest, which are counted as dropped; a file above the bound drops only itself.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -36,6 +38,17 @@ class DestinationStats:
     rejected: int = 0
 
 
+@dataclass
+class QueueStats:
+    """The spool as one destination sees it; nothing pending: all that was accepted has been delivered."""
+
+    pending_files: int
+    pending_bytes: int
+    acked_batches: int
+    dropped_files: int
+    dropped_bytes: int
+
+
 class Forwarder:
     def __init__(self, spark: SparkSession, root: str, destinations: dict[str, Callable[[DataFrame, int], None]], max_spool_bytes: int = 0, least_wait: float = 0.1, most_wait: float = 10.0, files_per_batch: int = 16):
         self.spark, self.root, self.destinations, self.max_spool_bytes = spark, root.rstrip("/"), destinations, max_spool_bytes
@@ -53,16 +66,47 @@ class Forwarder:
     def enforce_bound(self) -> None:
         if not self.max_spool_bytes:
             return
-        at = self.files.path(f"{self.root}/spool")
-        held = sorted((s.getModificationTime(), s.getPath().getName(), s.getLen(), s.getPath()) for s in self.files.fs.listStatus(at) if s.getPath().getName().endswith(".parquet")) if self.files.exists(f"{self.root}/spool") else []
-        total = sum(h[2] for h in held)
-        for _, _, size, path in held:
+        held = self._held()
+        total = sum(size for _, _, size in held)
+        if total <= self.max_spool_bytes:
+            return
+        taken = set.intersection(*[self._acked(name)[0] for name in self.destinations]) if self.destinations else set()
+        # delivered files, then files above the bound, then by age
+        for _, name, size in sorted(held, key=lambda h: (h[1] not in taken, h[2] <= self.max_spool_bytes)):
             if total <= self.max_spool_bytes:
                 break
-            self.files.fs.delete(path, False)
+            self.files.delete(f"{self.root}/spool/{name}")
             total -= size
-            self.dropped_files += 1
-            self.dropped_bytes += size
+            if name not in taken:
+                self.dropped_files += 1
+                self.dropped_bytes += size
+
+    def _held(self) -> list[tuple[int, str, int]]:
+        """(modified, name, bytes) of the spool's files, oldest first."""
+        at = f"{self.root}/spool"
+        found = self.files.fs.listStatus(self.files.path(at)) if self.files.exists(at) else []
+        return sorted((s.getModificationTime(), s.getPath().getName(), s.getLen()) for s in found if s.getPath().getName().endswith(".parquet"))
+
+    def _acked(self, name: str) -> tuple[set[str], int]:
+        """Names of the files that a destination has taken, and its committed batches, from its checkpoint."""
+        at = f"{self.root}/checkpoints/{name}"
+        batches = [int(n) for n in self.files.names(f"{at}/commits") if n.isdigit()]
+        # the source's log numbers its own batches; a committed batch's offset says how far it had come
+        last = -1
+        if batches:
+            offset = self.files.read(f"{at}/offsets/{max(batches)}").splitlines()[-1]
+            last = json.loads(offset).get("logOffset", -1)
+        taken = set()
+        for n in self.files.names(f"{at}/sources/0"):
+            if n.partition(".")[0].isdigit() and not n.endswith(".tmp"):
+                entries = map(json.loads, self.files.read(f"{at}/sources/0/{n}").splitlines()[1:])
+                taken |= {e["path"].rpartition("/")[2] for e in entries if e["batchId"] <= last}
+        return taken, max(batches, default=-1) + 1
+
+    def queue_stats(self, name: str) -> QueueStats:
+        taken, batches = self._acked(name)
+        waiting = [size for _, file, size in self._held() if file not in taken]
+        return QueueStats(len(waiting), sum(waiting), batches, self.dropped_files, self.dropped_bytes)
 
     def start(self, available_now: bool = False) -> None:
         for name in self.destinations:
@@ -93,8 +137,10 @@ class Forwarder:
         for q in self.queries.values():
             q.awaitTermination(timeout)
 
-    def stop(self) -> None:
+    def stop(self, timeout: float = 5.0) -> None:
+        """Waits timeout seconds in all for what is pending, then stops; the rest stays in the spool."""
+        until = time.monotonic() + timeout
+        while time.monotonic() < until and any(q.isActive and self.queue_stats(name).pending_files for name, q in self.queries.items()):
+            time.sleep(0.05)
         for q in self.queries.values():
             q.stop()
-
-

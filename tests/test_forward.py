@@ -30,9 +30,11 @@ def test_delivery(spark, tmp_path):
     first.add_rows(rows)
     first.start(available_now=True)
     first.drain()
+    assert all(first.queue_stats(n).pending_files == 0 and first.queue_stats(n).acked_batches >= 1 for n in "ab")
     assert len(got["a"]) == len(got["b"]) == 300 and first.stats["a"].retries == 2 and first.stats["b"].retries == 0
     second = Forwarder(spark, root, {"a": a, "b": b})  # a restart goes on where the first ended
     second.add_rows(rows.withColumn("fields", F.create_map(F.lit("level"), F.lit("poison"))))
+    assert second.queue_stats("a").pending_bytes > 0
     second.start(available_now=True)
     second.drain()
     assert len(got["a"]) == 600 and len(got["b"]) == 300 and second.stats["b"].rejected >= 1
@@ -45,3 +47,19 @@ def test_bounded_spool_drops_the_oldest(spark, tmp_path):
         f.add_rows(generate(spark, 200, seed=k).coalesce(1))
     assert f.dropped_files > 0 and f.dropped_bytes > 0
     assert 0 < spark.read.parquet(f"file://{tmp_path}/f/spool").count() < 1000
+
+
+def test_delivered_files_go_uncounted_and_a_large_one_alone(spark, tmp_path):
+    f = Forwarder(spark, f"file://{tmp_path}/f", {"a": lambda batch, _: batch.count()}, max_spool_bytes=20_000)
+    f.add_rows(generate(spark, 100).coalesce(1))
+    f.start(available_now=True)
+    f.drain()
+    delivered = {n for _, n, _ in f._held()}
+    f.add_rows(generate(spark, 150, seed=1).coalesce(1))
+    waiting = {n for _, n, _ in f._held()} - delivered
+    f.add_rows(generate(spark, 2000, seed=2).coalesce(1))
+    assert {n for _, n, _ in f._held()} == waiting and f.dropped_files == 1
+    assert f.queue_stats("a").pending_files == 1 and f.queue_stats("a").dropped_files == 1
+    f.start()
+    f.stop(timeout=60)
+    assert f.queue_stats("a").pending_files == 0

@@ -100,6 +100,9 @@ def test_skipping(spark, tmp_path):
     table.flush()
     wide = (0, BIG)
     rare = table.explain(Query(*wide, filters=(Filter("_msg", RARE),)))
+    assert rare.token_maybe == rare.token_true == rare.blocks_scanned and rare.token_false_positives == 0 and rare.rows_scanned >= 10 and "rows 10 of" in str(rare)
+    both = table.explain(Query(*wide, filters=(Filter("_msg", RARE), Filter("level", "info"))))
+    assert both.rows_matched == table.search(Query(*wide, filters=(Filter("_msg", RARE), Filter("level", "info")))).count() and both.token_false_positives >= 0
     assert rare.rows_matched == 10 and rare.blocks_scanned <= 10 and rare.skip_ratio > 0.95
     common = table.explain(Query(*wide, filters=(Filter("_msg", "request"),)))
     assert common.rows_matched == 20_000 and common.skip_ratio == 0
@@ -126,12 +129,34 @@ def test_cluster_equals_brute_force(spark, tmp_path, policy):
     part = cluster.ask(Query(-(2**63), BIG, allow_partial=True))
     whole = brute(rows, Query(-(2**63), BIG))
     got = rows_of(part.rows)
+    counted = cluster.explain(Query(-(2**63), BIG))
+    assert counted.nodes_queried == 3 and counted.nodes_failed == 1 and counted.rows_matched == len(got) and "partial" in str(counted)
     assert part.is_partial and len(got) < len(whole) and all(x in whole for x in got)
     cluster.add_rows(spark.createDataFrame(rows, LOG_SCHEMA))  # its share goes to the others
     cluster.flush()
     assert cluster.rerouted == 1 and cluster.ask(Query(-(2**63), BIG, allow_partial=True)).rows.count() == len(got) + len(rows)
 
 
+def test_json_forms(spark, tmp_path):
+    table = LogTable(spark, f"file://{tmp_path}/t")
+    texts = [
+        '[{"Timestamp": 5, "StreamID": 18446744073709551615, "Fields": [{"Name": "_msg", "Value": "héllo"}, {"Name": "_msg", "Value": "second"}]}, {"Timestamp": 6}]',
+        '{"Timestamp": 4, "StreamID": 9223372036854775808, "Fields": [{"Name": "a", "Value": ""}, {"Name": "b", "Value": "1"}]}', "[]",
+    ]
+    table.insert_json(spark.createDataFrame([(t,) for t in texts], "value string"))
+    table.flush()
+    rows, stats = table.select_json('{"MinTimestamp": 0, "MaxTimestamp": 10, "StreamID": null, "Filters": null, "Limit": 0}')
+    assert [r.value for r in rows.collect()] == [
+        '{"Timestamp":6,"StreamID":0,"Fields":[]}', '{"Timestamp":4,"StreamID":9223372036854775808,"Fields":[{"Name":"b","Value":"1"}]}',
+        '{"Timestamp":5,"StreamID":18446744073709551615,"Fields":[{"Name":"_msg","Value":"héllo"}]}',
+    ]
+    assert stats.rows_matched == 3 and stats.partitions_total == 1
+    table.insert_json(spark.createDataFrame([("{not json",)], "value string"))
+    with pytest.raises(Exception):
+        table.flush()
+    assert table.scan().count() == 3
+
+
 def test_functions(spark):
     register(spark)
     texts = ["", "...", "a-b_c", "2024-01-15T10:30:00Z", "the other", "日本the", None]
@@ -154,5 +179,8 @@ def test_sticky_is_unsigned(spark):
     df = spark.createDataFrame([(signed(i),) for i in ids], "stream_id long")
     for n in (1, 3, 7, 8):
         assert [r.node for r in route(df, n, Policy.STICKY).collect()] == [(i ^ i >> 33) % n for i in ids]
+    hot = spark.range(8000, numPartitions=8).select(F.col("id").alias("ts_ns"), F.lit(7).cast("long").alias("stream_id"))
+    split = route(hot, 4, Policy.HYBRID, threshold=10).groupBy("node").count().collect()  # eight clients, each with its own first rows
+    assert sum(r["count"] for r in split) == 8000 and all(1700 < r["count"] < 2400 for r in split) and str(Policy.HYBRID) == "hybrid"
     spread = balance(route(generate(spark, 20_000), 4, Policy.SPRAY), 4).first()
     assert spread.n_rows == 20_000 and spread.ratio <= 1.05
