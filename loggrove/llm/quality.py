@@ -3,7 +3,8 @@
 Each whole text is cut into chunks of 1 KB (a long text's own history would drown a dictionary), all chunks are compressed
 with both dictionaries, and the summed sizes give the normalised difference. It, the text's size under the better
 dictionary, and its size without any (junk that repeats itself) are calibrated to a score by logistic regression on labelled
-rows that the dictionaries haven't seen.
+rows that the dictionaries haven't seen. Lines that sampled documents of both classes hold stay out of the dictionaries: such
+shared passages say nothing about a class, but would match whole in the one dictionary that they happened to get into.
 """
 
 from __future__ import annotations
@@ -100,7 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
     chosen = own.where("quality = 1").orderBy("h", "doc_id").limit(sample_rows).unionByName(own.where("quality = 0").orderBy("h", "doc_id").limit(sample_rows))
     texts = common.as_texts(docs).where("text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", (F.pmod(F.col("h"), F.lit(1000)) < int(1000 * FOR_DICTIONARY)).alias("first"))
-    texts = common.stored(texts, "quality-sample")
+    texts = common.stored(texts.withColumn("row", F.monotonically_increasing_id()), "quality-sample")
+    lines = texts.select("row", "doc_id", "quality", "first", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    own = lines.groupBy("line").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = most").select("line")
+    told = lines.where("first").join(own, "line").groupBy("row", "doc_id", "quality").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    told = told.select("doc_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"), "quality")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 yield pa.RecordBatch.from_pydict({"doc_id": [doc] * len(at), "quality": pa.array([q] * len(at), pa.int32()), "at": pa.array(at, pa.int32()), "chunk": pa.array([raw[i * CHUNK : (i + 1) * CHUNK] for i in at], pa.binary())})
 
     samples: dict[int, list[bytes]] = {0: [], 1: []}
-    few = texts.where("first").mapInArrow(cut, "doc_id long, quality int, at int, chunk binary")
+    few = told.mapInArrow(cut, "doc_id long, quality int, at int, chunk binary")
     for q in samples:  # as many chunks as a dictionary holds, whatever the sample
         rows = few.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", "at"), "chunk").limit(DICTIONARY_BYTES // CHUNK).collect()
         samples[q] = [bytes(r.chunk) for r in rows]
