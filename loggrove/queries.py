@@ -5,13 +5,21 @@ documents as logs: stream = source, _msg = text. events as logs: stream = user_i
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.streams import sticky
 from .functions.tokens import distinct_tokens, has_token, tokens
 from .operators import blocks
+from .operators.cluster import ClusterTable
 from .operators.routing import Policy, balance, route
+from .plans.query import Filter, Query
+from .sources import jsonrows
+from .sources.table import LogTable
+from .streaming.forward import Forwarder
 
 DAY_US = 86_400_000_000
 W = "[A-Za-z0-9]+"
@@ -245,3 +253,115 @@ def sort_oracle(spark, d):
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, d, "events").select("ts", F.lag("ts").over(w).alias("p")).where("p > ts").agg(F.count("*").alias("out_of_order"))
+
+
+# the same contract through the library's own tables, written, published and read back
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; a temporary one only where none is set (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{at or 'file://' + tempfile.mkdtemp(prefix='loggrove-')}/loggrove-{uuid.uuid4().hex}"
+
+
+def event_logs(spark, d):
+    """events as log rows."""
+    fields = F.create_map(F.lit("event_id"), F.col("event_id").cast("string"), F.lit("event_type"), F.col("event_type"))
+    return events(spark, d).select((F.col("us") * 1000).alias("ts_ns"), F.col("user_id").cast("long").alias("stream_id"), fields.alias("fields"))
+
+
+def _as_events(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("fields")["event_id"].cast("long").alias("event_id"), F.col("stream_id").alias("user_id"))
+
+
+def _event_table(spark, d) -> LogTable:
+    out = LogTable(spark, _scratch(spark))
+    out.add_rows(event_logs(spark, d))
+    out.flush()
+    return out
+
+
+EVER = (-(2**63), 2**63 - 1)
+SOME = (1704153600000000000, 1705363200000000000)
+AS_EVENTS = "SELECT event_id, CAST(user_id AS BIGINT) AS user_id FROM events"
+
+
+@query(f"{AS_EVENTS} WHERE {US} BETWEEN 1704153600000000 AND 1705363200000000 AND event_type = 'click'")
+def table_search(spark, d):
+    return _as_events(_event_table(spark, d).search(Query(*SOME, filters=(Filter("event_type", "click"),))))
+
+
+@query(f"{AS_EVENTS} WHERE user_id = 7 AND floor({US} / 86400000000) >= 19730")
+def table_after_merge_and_retention(spark, d):
+    own = LogTable(spark, _scratch(spark), merge_parts=0)
+    for early in (True, False):
+        own.add_rows(event_logs(spark, d).where((F.col("ts_ns") < SOME[1]) == early))
+        own.flush()
+    own.add_rows(event_logs(spark, d).where("false"))
+    own.flush()
+    own.compact()
+    own.drop_before(19730)
+    return _as_events(own.search(Query(*EVER, stream_id=7)))
+
+
+@query(f"SELECT CAST(floor({US} / 86400000000) AS BIGINT) AS day, count(*) AS n, min({US}) * 1000 AS least, max({US}) * 1000 AS most FROM events GROUP BY 1")
+def table_parts(spark, d):
+    parts = _event_table(spark, d).manifest().parts
+    return spark.createDataFrame([(p.day, p.rows, p.min_ts, p.max_ts) for p in parts], "day long, n long, least long, most long")
+
+
+@query(f"{AS_EVENTS} WHERE event_type = 'purchase'")
+def cluster_search(spark, d):
+    root = _scratch(spark)
+    own = ClusterTable(spark, [f"{root}/{k}" for k in range(3)], threshold=5)
+    own.add_rows(event_logs(spark, d))
+    own.flush()
+    return _as_events(own.search(Query(*EVER, filters=(Filter("event_type", "purchase"),))))
+
+
+@query(f"{AS_EVENTS} ORDER BY user_id, ts, event_id LIMIT 100")
+def cluster_first_n(spark, d):
+    root = _scratch(spark)
+    own = ClusterTable(spark, [f"{root}/{k}" for k in range(2)], Policy.SPRAY, index=False)
+    own.add_rows(event_logs(spark, d))
+    own.flush()
+    return _as_events(own.search(Query(*EVER, limit=100)))
+
+
+@query(AS_EVENTS)
+def forwarded(spark, d):
+    """Through the spool and a streaming query into a table."""
+    root = _scratch(spark)
+    own = LogTable(spark, f"{root}/table", index=False)
+
+    def deliver(batch: DataFrame, _: int) -> None:
+        own.add_rows(batch)
+        own.flush()
+
+    forwarder = Forwarder(spark, f"{root}/agent", {"table": deliver})
+    forwarder.add_rows(event_logs(spark, d))
+    forwarder.start(available_now=True)
+    forwarder.drain()
+    return _as_events(own.scan())
+
+
+@query(AS_EVENTS)
+def json_rows(spark, d):
+    return _as_events(jsonrows.parse(jsonrows.render(event_logs(spark, d))))
+
+
+@query("SELECT user_id, n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ORDER BY n, user_id LIMIT 1")
+def cold_stream(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy("n", "user_id").limit(1)
+
+
+@query("SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS ties FROM (SELECT count(*) - 1 AS n FROM (SELECT user_id, date_trunc('hour', ts) AS t FROM events) GROUP BY user_id, t)")
+def tie_count(spark, d):
+    """Rows that share stream and time (here: the hour) with one before them."""
+    per = events(spark, d).groupBy("user_id", F.floor(F.col("us") / 3_600_000_000)).agg((F.count("*") - 1).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ties"))
+
+
+@query("SELECT n, count(*) AS keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY n")
+def multiset_counts(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys"))
