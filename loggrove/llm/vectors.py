@@ -1,7 +1,10 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 A tree splits vectors again and again at the median of their projections on a random direction; vectors near the median
-spill to both sides. The splits are fitted on a bounded sample, then every vector is sent to its leaves of every tree.
+spill to both sides. The spill is never narrower than WIDTH times the spread of the projected distance of a pair at the cosine
+threshold, and a node whose two sides would hold as many pairs as the node itself (a group of near copies) isn't split. The
+splits are fitted on a bounded sample, then every vector is sent to its leaves of every tree. Where the leaves of all trees
+would hold as many pairs as there are in all, every pair is compared instead, which is exact.
 Vectors are compared with all others of a leaf, in double precision. A pair that meets in several leaves counts in the first
 one only, which its leaves tell without a look at other tasks; so a leaf returns sums and a spanning forest of its links, not
 its pairs, and nothing has to be made distinct afterwards. A leaf beyond `block` vectors is compared in blocks, each pair of
@@ -24,31 +27,34 @@ COSINE = 0.9
 TREES, LEAF, SPILL = 8, 384, 0.10
 #: Bound of the sample that the splits are fitted on: vectors, and bytes.
 SAMPLE, SAMPLE_BYTES = 20_000, 48 << 20
+#: Least width of the spill, in standard deviations of the projected distance of a pair at the cosine threshold.
+WIDTH = 1.5
 #: Vectors of a leaf that are compared in one task.
 BLOCK = 2048
 
 
 class Tree:
-    """Splits in arrays: node k goes left to 2k + 1 if its projection is at most high[k], and right to 2k + 2 if it is at least low[k]."""
+    """Splits in arrays: node k goes left to 2k + 1 if its projection is at most high[k], and right to 2k + 2 if it is at least low[k]; where whole[k], it stays."""
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, seed: int):
+    def __init__(self, sample: np.ndarray, depth: int, spill: float, seed: int, cosine: float = COSINE):
         rng = np.random.default_rng(seed)
         n = (1 << depth) - 1
         self.depth = depth
         self.direction = rng.standard_normal((n, sample.shape[1])).astype(np.float64)
-        self.low, self.high = np.zeros(n), np.zeros(n)
+        self.low, self.high, self.whole = np.zeros(n), np.zeros(n), np.ones(n, dtype=bool)
+        # a pair at the threshold is so far apart on a direction, by its standard deviation
+        half = WIDTH * np.sqrt(max(0.0, 2 - 2 * cosine)) / 2
         held = {0: np.arange(len(sample))}
         for k in range(n):
             own = held.pop(k, np.zeros(0, np.int64))
-            if len(own) < 4:  # as the parent's spread says
-                self.low[k], self.high[k] = (self.low[(k - 1) // 2], self.high[(k - 1) // 2]) if k else (0.0, 0.0)
-                left = right = own
-            else:
-                x = sample[own] @ self.direction[k]
-                self.low[k], self.high[k] = np.quantile(x, (0.5 - spill, 0.5 + spill))
-                middle = np.median(x)
-                left, right = own[x <= middle], own[x > middle]
-            held[2 * k + 1], held[2 * k + 2] = left, right
+            if len(own) < 4:  # too few to split by
+                continue
+            x = sample[own] @ self.direction[k]
+            low, middle, high = np.quantile(x, (0.5 - spill, 0.5, 0.5 + spill))
+            self.low[k], self.high[k] = min(low, middle - half), max(high, middle + half)
+            self.whole[k] = (x <= self.high[k]).mean() ** 2 + (x >= self.low[k]).mean() ** 2 >= 1
+            if not self.whole[k]:
+                held[2 * k + 1], held[2 * k + 2] = own[x <= middle], own[x > middle]
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and leaves: a row for each leaf of each vector."""
@@ -58,6 +64,9 @@ class Tree:
             order = np.argsort(node, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(node[order])) + 1) if len(order) else []:
                 k = node[own[0]]
+                if k >= len(self.whole) or self.whole[k]:
+                    out_row.append(row[own]), out_node.append(node[own])
+                    continue
                 p = x[row[own]] @ self.direction[k]
                 for those, child in ((p <= self.high[k], 2 * k + 1), (p >= self.low[k], 2 * k + 2)):
                     out_row.append(row[own[those]])
@@ -65,6 +74,11 @@ class Tree:
             row, node = (np.concatenate([*o, np.zeros(0, np.int64)]).astype(np.int64) for o in (out_row, out_node))
         return row, node
 
+    def share(self, x: np.ndarray) -> float:
+        """Pairs of x that the leaves hold, counted once for each leaf, for each pair of x."""
+        n = np.unique(self.leaves(x)[1], return_counts=True)[1].astype(float)
+        return float((n * (n - 1)).sum() / max(1, len(x) * (len(x) - 1)))
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -78,14 +92,7 @@ def compare(x: np.ndarray, weight: np.ndarray, side: np.ndarray, paths: list[np.
     is compared there.
     """
     n = len(x)
-    links, parent = np.zeros(n, np.int64), np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    links, root = np.zeros(n, np.int64), np.arange(n)
     rows = np.flatnonzero(side == first)
     others = rows if first == second else np.flatnonzero(side == second)
     for s in range(0, len(rows), 512):
@@ -106,11 +113,14 @@ def compare(x: np.ndarray, weight: np.ndarray, side: np.ndarray, paths: list[np.
             a, b = a[~met], b[~met]
         np.add.at(links, a, weight[b])
         np.add.at(links, b, weight[a])
-        for i, j in zip(a.tolist(), b.tolist()):
-            i, j = root(i), root(j)
-            if i != j:
-                parent[max(i, j)] = min(i, j)
-    return links, np.array([root(i) for i in range(n)], dtype=np.int64)
+        ends = np.flatnonzero(np.r_[a[1:] != a[:-1], True]) + 1 if len(a) else []
+        at = 0
+        for e in ends:  # a row's links at once
+            met = np.unique(root[np.r_[a[at], b[at:e]]])
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[0]
+            at = e
+    return links, root
 
 
 def near(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> DataFrame:
@@ -148,7 +158,9 @@ def near(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: i
         if depth:
             got = nodes.where(F.col("size") == size).orderBy(F.xxhash64("node"), "node").limit(most).select("data").collect()
             x = _unit(np.stack([decode(bytes(r.data), size) for r in got]))
-            forests[size] = [Tree(x, depth, spill, seed * 1000 + t) for t in range(trees)]
+            forest = [Tree(x, depth, spill, seed * 1000 + t, cosine) for t in range(trees)]
+            if sum(t.share(x) for t in forest) < 1:  # else all pairs are fewer: one leaf, compared in blocks
+                forests[size] = forest
     held = spark.sparkContext.broadcast(forests)  # bounded by depth: less than 2 n / leaf directions a tree
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +206,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: i
         live = np.flatnonzero(links > 0)
         return pa.table({"node": pa.array([node[k] for k in live], pa.binary()), "links": pa.array(links[live], pa.int64()), "root": pa.array([node[root[k]] for k in live], pa.binary())})
 
+    dealt = dealt.repartition(common.parts(spark), "size", "tree", "leaf", "i", "j")  # small in bytes, but not in work
     found = common.stored(dealt.groupBy("size", "tree", "leaf", "i", "j").applyInArrow(within, "node binary, links long, root binary"), "vector-links")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     united = common.components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors")
