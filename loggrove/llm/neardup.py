@@ -228,11 +228,11 @@ def crossing(sets: list[np.ndarray], weights: list[np.ndarray], component: list,
     plain = np.array([w.max() == 1 for w in weights])
     total = np.array([w.sum() for w in weights], dtype=float)
     # rows of the largest component first, against the rest alone; then the rest against all
-    most = np.bincount(label).argmax()
+    inmost = label == np.bincount(label).argmax()  # as they come: labels change on the way
     out = []
     for inner in (True, False):
-        mine = np.flatnonzero((side == first) & ((label == most) == inner))
-        others = np.flatnonzero((side == second) & (label != most)) if inner else np.flatnonzero(side == second)
+        mine = np.flatnonzero((side == first) & (inmost == inner))
+        others = np.flatnonzero((side == second) & ~inmost) if inner else np.flatnonzero(side == second)
         if not len(mine) or not len(others):
             continue
         rows = np.repeat(others, size[others])
