@@ -25,7 +25,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A word that makes what follows on its line sensitive.
 CONTEXT = re.compile(r"(?ai:secret|token|passw|passphrase|pwd|api.?key|private|credential|bearer|authoriz|session|signature|client.?id|\bkey\b)")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Characters between the sensitive word and the candidate at most, and of surroundings that prime the compressor.
 REACH, AROUND = 64, 1500
 #: Compressed bytes that a candidate adds for each of its characters at least.
@@ -47,17 +48,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple]) -> Iterator[tuple[int, int]]:
+    """A run is cut after each = but its padding, so that the name of NAME=value is the value's context; where its last piece is none, the whole run may be one."""
     taken = [(b[0], b[2]) for b in base]
+
+    def sensitive(s: int, e: int) -> bool:
+        own = text[s:e]
+        if len(own) < LEAST or not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
+            return False
+        if any(a < e and s < b for a, b in taken):
+            return False
+        return CONTEXT.search(text, _near(text, s), s) is not None
+
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        own = m[0]
-        if own.isalpha() or own.isdigit() or not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
-            continue
-        if any(a < e and s < b for a, b in taken):
-            continue
-        line = max(text.rfind("\n", 0, s) + 1, s - REACH)
-        if CONTEXT.search(text, line, s):
-            yield s, e
+        cuts = [s, *(s + i + 1 for i, c in enumerate(m[0].rstrip("=")) if c == "=")]
+        pieces = [(a, b) for a, b in zip(cuts, [*(c - 1 for c in cuts[1:]), e]) if sensitive(a, b)]
+        if (not pieces or pieces[-1][1] < e) and sensitive(s, e):
+            pieces = [(s, e)]
+        yield from pieces
+
+
+def _near(text: str, at: int) -> int:
+    """REACH characters before at, or the start of its line."""
+    low = max(0, at - REACH)
+    return max(low, text.rfind("\n", low, at) + 1)
 
 
 class Novelty:
