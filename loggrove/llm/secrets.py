@@ -88,6 +88,20 @@ class Novelty:
         return (len(self.zip.compress(around + own)) - len(self.zip.compress(around))) / len(own)
 
 
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """What stands near the sensitive words; where it overlaps, it is one window."""
+    low = high = -1
+    for m in CONTEXT.finditer(text):
+        start = _near(text, m.start())
+        if start > high:
+            if high >= 0:
+                yield low, high
+            low = start
+        high = m.end() + REACH
+    if high >= 0:
+        yield low, high
+
+
 def identifier_dictionary(docs: DataFrame, limit: int = DICTIONARY_BYTES) -> bytes:
     """The most frequent identifiers of sensitive lines, over all documents; counted map-side, only the dictionary's entries reach the driver."""
 
@@ -95,12 +109,8 @@ def identifier_dictionary(docs: DataFrame, limit: int = DICTIONARY_BYTES) -> byt
         for batch in batches:
             found: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                seen = -1
-                for m in CONTEXT.finditer(text):
-                    line = text.rfind("\n", 0, m.start()) + 1
-                    if line > seen:  # each line once; what stands near the word
-                        seen = line
-                        found.update(IDENTIFIER.findall(text, max(line, m.start() - REACH), m.end() + REACH))
+                for low, high in windows(text):
+                    found.update(IDENTIFIER.findall(text, low, high))
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
