@@ -77,15 +77,16 @@ def dictionary(samples: list[bytes]) -> bytes:
     return b"".join(samples[int(i * step)] for i in range(min(keep, len(samples))))[-DICTIONARY_BYTES:]
 
 
-def calibrate(features: np.ndarray, labels: np.ndarray) -> tuple[tuple, tuple, tuple]:
-    """Logistic regression by Newton steps, ridge 1; with one class only, its prior decides."""
+def calibrate(features: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[tuple, tuple, tuple]:
+    """Logistic regression of weighted rows by Newton steps, ridge 1; with one class only, its prior decides."""
+    n = np.ones(len(features)) if weights is None else weights
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-9
     x = np.c_[(features - mean) / scale, np.ones(len(features))]
     w = np.zeros(x.shape[1])
     ridge = np.r_[np.ones(x.shape[1] - 1), 1e-3]
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6), x.T @ (p - labels) + ridge * w)
+        w = w - np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6), x.T @ (n * (p - labels)) + ridge * w)
     return tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist())
 
 
@@ -95,10 +96,14 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from a bounded sample of labelled rows that aren't held out. Ids with contradicting labels are left out; without labels every score is 0.5."""
+    """Learns from a bounded sample of labelled rows that aren't held out. Ids with contradicting labels are left out; without labels every score is 0.5.
+
+    A class that the bound cuts weighs in the calibration as much as all its labels, so the threshold doesn't move with the table's size.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
+    total = {r.quality: r.n for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = own.where("quality = 1").orderBy("h", "doc_id").limit(sample_rows).unionByName(own.where("quality = 0").orderBy("h", "doc_id").limit(sample_rows))
     texts = common.as_texts(docs).where("text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", (F.pmod(F.col("h"), F.lit(1000)) < int(1000 * FOR_DICTIONARY)).alias("first"))
     texts = common.stored(texts.withColumn("row", F.monotonically_increasing_id()), "quality-sample")
@@ -131,7 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     rows = texts.where("not first").select("text", "quality").mapInArrow(measure, "quality int, f array<double>").collect()
     if not rows or not good or not bad:
         return Model(good, bad, (0.0,) * 4, (1.0,) * 4, (0.0,) * 5)
-    return Model(good, bad, *calibrate(np.array([r.f for r in rows]), np.array([r.quality for r in rows], dtype=float)))
+    weights = np.array([total[r.quality] / min(total[r.quality], sample_rows) for r in rows])
+    weights *= len(rows) / weights.sum()
+    return Model(good, bad, *calibrate(np.array([r.f for r in rows]), np.array([r.quality for r in rows], dtype=float), weights))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
