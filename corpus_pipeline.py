@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage to the shared folder and reads it
 back as the next one's docs. All but the last return the columns of documents. No stage has SQL: the first and the third are
-a fitted model and a similarity search, so run() is tested against brute force.
+a fitted model and a similarity search; the rows of run() are tested against brute-force stages 2 to 5 over the first's output.
 """
 
 from __future__ import annotations
