@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -20,23 +21,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='loggrove-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+    """This application's folder below spark.checkpoint.dir, which driver and executors share; it is deleted when the application ends.
+
+    Where that setting is missing, a temporary folder serves a local master (tests); on a cluster it would be one machine's, so that raises.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='loggrove-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    at = f"{base.rstrip('/')}/loggrove-{context.applicationId}"
+    if _FOLDERS.get(at) is None:
+        path = context._jvm.org.apache.hadoop.fs.Path(at)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[at] = at
     return at
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, and is planned by its real size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loggrove-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are broadcast by join_spread at most, and rows of a key below which it never counts as frequent.
+FREQUENT_KEYS, FREQUENT_ROWS = 1000, 1000
+
+
+def join_spread(rows: DataFrame, unique: DataFrame, on: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with unique (one row for each key, n: how many rows have it) without shuffling a frequent key into one task.
+
+    A key with more than 1 / FREQUENT_KEYS of all rows is frequent; there are fewer than FREQUENT_KEYS of those, so they may be
+    broadcast, whatever the data. All other keys are joined by a shuffle. Both tables should be stored ones: they are read twice.
+    how: inner or left.
+    """
+    top = unique.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+    limit = max(FREQUENT_ROWS, (top["all"] or 0) / FREQUENT_KEYS)
+    if (top["most"] or 0) <= limit:
+        return rows.join(unique, on, how)
+    frequent = unique.where(F.col(n) > limit)
+    hot = rows.join(F.broadcast(frequent), on)
+    cold = rows.join(F.broadcast(frequent.select(on)), on, "left_anti").join(unique.where(F.col(n) <= limit), on, how)
+    return hot.unionByName(cold)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -46,9 +84,9 @@ def as_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def clash_free(docs: DataFrame, new: Iterable[str]) -> DataFrame:
-    """docs without the columns that an operator is about to add."""
-    return docs.drop(*(set(docs.columns) & set(new)))
+def packed(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """The columns of docs (less some) as one struct, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but])
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -69,14 +107,6 @@ def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
-def to_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
-
-
-def least(*columns: str | Column) -> Column:
-    return F.least(*columns)
-
-
 #: Edges that one task unites (each at most two nodes of some 16 bytes).
 ONE_TASK_EDGES = 500_000
 
@@ -116,35 +146,31 @@ def _edges(parent: dict, names: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(u, names.field(0).type), pa.array(v, names.field(1).type)], schema=names)
 
 
-def components(edges: DataFrame, name: str, one_task_edges: int = ONE_TASK_EDGES, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component): component is the smallest node that is reachable from node; only nodes of edges (a, b) appear.
 
     Each task first turns its edges into a spanning forest, without a shuffle. If one_task_edges or fewer are left in all, one
-    task unites them. Otherwise large-star and small-star rounds follow: each shuffles a row for each edge, keeps no list of a
-    node's neighbours (a minimum, aggregated map-side first, replaces it), and the edge table is written between rounds.
+    task unites them. Otherwise large-star and small-star rounds follow until nothing changes: each shuffles a row for each
+    edge, keeps no list of a node's neighbours (a minimum, aggregated map-side first, replaces it), spreads the rows of a hub,
+    and the edge table is written between rounds. Both ways give the same result.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     now = stored(now.mapInArrow(_forest, now.schema), f"{name}-edges")
     if now.count() <= one_task_edges:
         now = stored(now.repartition(1).mapInArrow(_forest, now.schema), f"{name}-united")
     else:
-        now = _rounds(now, name, most_rounds)
+        now = _rounds(now, name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _rounds(now: DataFrame, name: str, most_rounds: int) -> DataFrame:
-    before = None
-    for k in range(most_rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, f"{name}-{k}")
-        mark = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-        if mark == before:
+def _rounds(now: DataFrame, name: str) -> DataFrame:
+    for k in itertools.count():
+        both = stored(now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{name}-both-{k}")
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"{name}-low-{k}")
+        large = join_spread(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u <> v").distinct(), f"{name}-large-{k}")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-least-{k}")
+        small = join_spread(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        before, now = now, stored(small, f"{name}-{k}")
+        if now.count() == before.count() and now.exceptAll(before).isEmpty():
             return now
-        before = mark
-    raise RuntimeError(f"components of {name} need more than {most_rounds} rounds")

@@ -3,14 +3,19 @@
 A shard is a piece of an input partition. Its texts become one sequence of word numbers: a word that no benchmark item has
 is a separator, runs between separators that are shorter than the shortest window are left out (no window can occur in
 them), so the index holds just what a window could match. The sequence's suffixes are sorted by prefix doubling; a wavelet
-matrix over its Burrows-Wheeler transform answers ranks; all windows are searched backwards at once; occurrences are
-located by walking to sampled suffix positions; the hit words of a document are merged into spans.
+matrix over its Burrows-Wheeler transform answers ranks; all windows whose words the shard has are searched backwards at
+once; occurrences are located by walking to sampled suffix positions; the hit words of a document are merged into spans.
+
+The benchmark is never held as a whole: beyond BLOCK_BYTES it is dealt into blocks by hash, and each block is broadcast for a
+pass of its own over the texts, which returns the hit words of hit documents alone; they are merged by document at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +24,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of benchmark text in one broadcast block; a larger benchmark is searched block by block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in one broadcast block, about; a larger benchmark is searched block by block.
+BLOCK_BYTES = 16 << 20
 SAMPLE = 8
+#: Windows that are searched at once.
+AT_ONCE = 1 << 16
 
 
 def _word_bytes() -> np.ndarray:
@@ -142,32 +149,29 @@ class FMIndex:
 
 
 class Benchmark:
-    """Windows of a block of items, grouped by length."""
+    """A block of items as one sequence of word numbers, and where windows start in it, by their length (some 20 bytes a word)."""
 
     def __init__(self, items: list[tuple], width: int):
         hashes = [words(np.frombuffer((t or "").encode(), np.uint8))[2] for _, t in items]
         self.ids = [str(i) for i, _ in items]
-        self.vocabulary = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
-        found: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for k, h in enumerate(hashes):
-            if len(h):
-                own = np.searchsorted(self.vocabulary, h) + 2  # 0 ends the text, 1 separates
-                for s in range(max(1, len(own) - width + 1)):
-                    found.setdefault(min(width, len(own)), []).append((own[s : s + width], k))
-        self.windows: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for n, pairs in found.items():
-            rows = np.stack([p[0] for p in pairs])
-            unique, of = np.unique(rows, axis=0, return_inverse=True)
-            order = np.argsort(of.ravel(), kind="stable")
-            items_of = np.split(np.array([p[1] for p in pairs])[order], np.cumsum(np.bincount(of.ravel()))[:-1])
-            self.windows[n] = (unique, [np.unique(x) for x in items_of])
+        every = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        self.vocabulary, numbers = np.unique(every, return_inverse=True)
+        self.words = numbers.astype(np.int32) + 2  # 0 ends the text, 1 separates
+        size = np.array([len(h) for h in hashes], np.int64)
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), size)
+        first = np.repeat(np.cumsum(size) - size, size)
+        at = np.arange(len(every))
+        length = np.minimum(size, width)[self.item] if len(every) else np.zeros(0, np.int64)
+        starts = (at + length <= first + size[self.item]) if len(every) else np.zeros(0, dtype=bool)
+        self.windows = {int(n): np.flatnonzero(starts & (length == n)) for n in np.unique(length)}
         self.shortest = min(self.windows, default=0)
 
     def hits(self, hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, list[set[int]]]:
         """Which words are hit, and the items that occur in each document."""
+        none = np.zeros(len(hashes), dtype=bool)
         hit, items = np.zeros(len(hashes) + 1, np.int64), [set() for _ in range(n_docs)]
         if not self.windows or not len(hashes):
-            return np.zeros(len(hashes), dtype=bool), items
+            return none, items
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
         known = self.vocabulary[at] == hashes
@@ -177,7 +181,7 @@ class Benchmark:
         size = np.bincount(run)
         keep = np.flatnonzero(known & (size[run] >= self.shortest))
         if not len(keep):
-            return np.zeros(len(hashes), dtype=bool), items
+            return none, items
         head = np.r_[True, run[keep][1:] != run[keep][:-1]]
         place = np.arange(len(keep)) + np.cumsum(head)  # a separator before each run
         text = np.ones(place[-1] + 2, np.int64)
@@ -185,92 +189,179 @@ class Benchmark:
         text[place] = at[keep] + 2
         back = np.zeros(len(text), np.int64)
         back[place] = keep
-        index = FMIndex(text, len(self.vocabulary) + 1)
-        for n, (patterns, of) in self.windows.items():
-            low, high = index.search(patterns)
-            found = np.flatnonzero(high > low)
-            if not len(found):
-                continue
-            counts = (high - low)[found]
-            rows = np.repeat(low[found] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            starts = back[index.locate(rows)]
-            np.add.at(hit, starts, 1)
-            np.add.at(hit, starts + n, -1)
-            for d, p in np.unique(np.stack([doc[starts], np.repeat(found, counts)], axis=1), axis=0).tolist():
-                items[d].update(of[p].tolist())
+        index = None
+        here = np.zeros(len(self.vocabulary) + 2, dtype=bool)
+        here[text] = True
+        absent = np.r_[0, np.cumsum(~here[self.words], dtype=np.int32)]
+        for n, every in self.windows.items():
+            live = every[absent[every + n] == absent[every]]
+            for s in range(0, len(live), AT_ONCE):
+                few = live[s : s + AT_ONCE]
+                patterns, of = np.unique(self.words[few[:, None] + np.arange(n)], axis=0, return_inverse=True)
+                index = index or FMIndex(text, len(self.vocabulary) + 1)
+                low, high = index.search(patterns.astype(np.int64))
+                found = np.flatnonzero(high > low)
+                if not len(found):
+                    continue
+                counts = (high - low)[found]
+                rows = np.repeat(low[found] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                starts = back[index.locate(rows)]
+                np.add.at(hit, starts, 1)
+                np.add.at(hit, starts + n, -1)
+                order = np.argsort(of.ravel(), kind="stable")
+                ends = np.searchsorted(of.ravel()[order], np.arange(len(patterns) + 1))
+                for d, p in np.unique(np.stack([doc[starts], np.repeat(found, counts)], axis=1), axis=0).tolist():
+                    items[d].update(self.item[few[order[ends[p] : ends[p + 1]]]].tolist())
         return np.cumsum(hit[:-1]) > 0, items
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple]]:
-    """The items in blocks of about limit bytes. A benchmark is a stated query set; it is read through the driver block by block."""
-    out, now, size = [], [], 0
-    for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).distinct().orderBy(id_col).toLocalIterator():
-        if now and size + len(text or "") > limit:
-            out.append(now)
-            now, size = [], 0
-        now.append((item, text))
-        size += len((text or "").encode())
-    return [*out, now] if now or not out else out
+class Piece:
+    """The words of some texts."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = [t.encode() for t in texts]
+        self.starts, self.ends, self.hashes = words(np.frombuffer(b"\n".join(self.texts) + b"\n", np.uint8))
+        self.bounds = np.cumsum([len(t) + 1 for t in self.texts])
+        self.doc = np.searchsorted(self.bounds, self.starts, side="right")
+        self.n_words = np.bincount(self.doc, minlength=len(texts))
+
+    def runs(self, hit: np.ndarray) -> list[list[tuple[int, int]]]:
+        """First and last word of each run of hit words of each text, counted in the piece."""
+        out: list[list[tuple[int, int]]] = [[] for _ in self.texts]
+        at = np.flatnonzero(hit)
+        if len(at):
+            first = np.r_[True, (np.diff(at) > 1) | (self.doc[at][1:] != self.doc[at][:-1])]
+            for h, t in zip(at[first].tolist(), at[np.r_[first[1:], True]].tolist()):
+                out[int(self.doc[h])].append((h, t))
+        return out
+
+    def spans(self, d: int, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+        """Start and end in characters of text d of runs of words."""
+        own, zero = self.texts[d], int(self.bounds[d]) - len(self.texts[d]) - 1
+        out, upto, chars = [], 0, 0
+        for h, t in runs:
+            s, e = int(self.starts[h]) - zero, int(self.ends[t]) - zero
+            start = chars + len(own[upto:s].decode())
+            chars, upto = start + len(own[s:e].decode()), e
+            out.append({"start": start, "end": chars})
+        return out
+
+
+_READY: dict[str, Benchmark] = {}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans[, text, *keep]) of every row of docs.
+def _ready(key: str, items: list[tuple], width: int) -> Benchmark:
+    """The block that this worker has last worked with, or a new one."""
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Benchmark(items, width)
+    return _READY[key]
+
+
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, row: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans[, text, row]) of every row of docs.
 
     items: ids of items with an occurring window, as sorted distinct strings. spans: merged hit words as (start, end) in
-    characters of the text, end exclusive. Null and empty texts have no words and no hits; an empty benchmark hits nothing;
-    items without an id count as "None"; repeated rows stay, each with its own result. No shuffle: each block of the
-    benchmark (one, unless it is larger than block_bytes) is broadcast, its size is bounded by the block.
+    characters of the text, end exclusive. row: a struct of all other columns of docs, so none of them can clash with these
+    names. Null and empty texts have no words and no hits; an empty benchmark hits nothing; items without an id count as
+    "None"; repeated rows stay, each with its own result; an empty table gives an empty one. A benchmark of block_bytes or
+    less is broadcast, and no text is shuffled. A larger one is searched block by block, with one pass over the texts for each;
+    what they hit is then joined to the texts by id and a hash of the text.
     """
     spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, item_id, item_text, block_bytes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = Benchmark(held[0].value, width) if len(held) == 1 else None
-        for batch in batches:
-            for piece in common.pieces(batch, limit=4 * common.PIECE_BYTES):
-                texts = [t.encode() for t in piece.column(1).to_pylist()]
-                raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-                starts, ends, hashes = words(raw)
-                bounds = np.cumsum([len(t) + 1 for t in texts])
-                doc = np.searchsorted(bounds, starts, side="right")
-                hit, items = np.zeros(len(starts), dtype=bool), [set() for _ in texts]
-                for b in held:
-                    one = ready or Benchmark(b.value, width)
-                    more, of = one.hits(hashes, doc, len(texts))
-                    hit |= more
-                    for x, y in zip(items, of):
-                        x |= {one.ids[i] for i in y}
-                n_words = np.bincount(doc, minlength=len(texts))
-                n_hit = np.bincount(doc[hit], minlength=len(texts))
-                spans: list[list[dict]] = [[] for _ in texts]
-                at = np.flatnonzero(hit)
-                if len(at):
-                    first = np.r_[True, (np.diff(at) > 1) | (doc[at][1:] != doc[at][:-1])]
-                    heads = at[first]
-                    tails = at[np.r_[first[1:], True]]
-                    for h, t in zip(heads.tolist(), tails.tolist()):
-                        d = int(doc[h])
-                        own, zero = texts[d], int(bounds[d]) - len(texts[d]) - 1
-                        s = len(own[: int(starts[h]) - zero].decode())
-                        spans[d].append({"start": s, "end": s + len(own[int(starts[h]) - zero : int(ends[t]) - zero].decode())})
-                out = [piece.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-                yield pa.RecordBatch.from_arrays(out + (piece.columns[1:] if keep is not None else []), names=made.names)
-
-    made = common.schema("doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(keep or ()))
-    if keep is not None:
+    extra = [common.packed(docs, (text_col,)).alias("row")] if row else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // block_bytes))
+    made = common.schema(f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}")
+    if row:
         for f in base.schema.fields[1:]:
             made = made.add(f.name, f.dataType)
-    return base.mapInArrow(run, made)
+    list_of = {f.name: t for f, t in zip(made.fields[3:5], (pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))}
+
+    def result(piece: pa.RecordBatch, own: Piece, hit: np.ndarray, ids: list[list[str]], rest: list) -> pa.RecordBatch:
+        spans = [own.spans(d, r) if r else [] for d, r in enumerate(own.runs(hit))]
+        n_hit = np.bincount(own.doc[hit], minlength=len(own.texts))
+        out = [piece.column(0), pa.array(own.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, list_of["items"]), pa.array(spans, list_of["spans"])]
+        return pa.RecordBatch.from_arrays([*out, *rest], names=made.names)
+
+    def searched(block: list[tuple]):
+        held, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Piece, np.ndarray, list[list[str]]]]:
+            ready = _ready(key, held.value, width)
+            for batch in batches:
+                for piece in common.pieces(batch, limit=4 * common.PIECE_BYTES):
+                    own = Piece(piece.column(1).to_pylist())
+                    hit, of = ready.hits(own.hashes, own.doc, len(own.texts))
+                    yield piece, own, hit, [sorted({ready.ids[i] for i in x}) for x in of]
+
+        return held, found
+
+    if blocks == 1:
+        _, found = searched([tuple(r) for r in items.collect()])  # block_bytes at most
+        return base.mapInArrow(lambda batches: (result(p, own, hit, ids, p.columns[1:] if row else []) for p, own, hit, ids in found(batches)), made)
+
+    base = base.withColumn("text_h", F.xxhash64("text"))
+    dealt = common.stored(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition("block"), "benchmark")
+    passes = []
+    for k in range(blocks):
+        held, found = searched([tuple(r) for r in dealt.where(F.col("block") == k).select("id", "text").collect()])
+
+        def only_hit(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
+            for piece, own, hit, ids in found(batches):
+                first = np.cumsum(own.n_words) - own.n_words
+                runs = own.runs(hit)
+                live = [d for d, r in enumerate(runs) if r]
+                at = [[{"first": h - int(first[d]), "last": t - int(first[d])} for h, t in runs[d]] for d in live]
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(live, pa.int64())), piece.column(2).take(pa.array(live, pa.int64())), pa.array([ids[d] for d in live], list_of["items"]), pa.array(at, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["doc_id", "text_h", "items", "runs"])
+
+        passes.append(common.stored(base.select("doc_id", "text", "text_h").mapInArrow(only_hit, "doc_id long, text_h long, items array<string>, runs array<struct<first:long,last:long>>").distinct(), f"contamination-{k}"))
+        held.unpersist()
+    merged = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "text_h").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("runs")).alias("runs"))
+    both = base.join(merged, base["doc_id"].eqNullSafe(merged["doc_id"]) & (base["text_h"] == merged["text_h"]), "left")
+    both = both.select(base["doc_id"], "text", "items", "runs", *(["row"] if row else []))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in common.pieces(batch, limit=4 * common.PIECE_BYTES):
+                own = Piece(piece.column(1).to_pylist())
+                first = np.cumsum(own.n_words) - own.n_words
+                edge = np.zeros(len(own.hashes) + 1, np.int64)
+                for d, runs in enumerate(piece.column(3).to_pylist()):
+                    for r in runs or ():
+                        edge[first[d] + r["first"]] += 1
+                        edge[first[d] + r["last"] + 1] -= 1
+                ids = [sorted(set(x or ())) for x in piece.column(2).to_pylist()]
+                yield result(piece, own, np.cumsum(edge[:-1]) > 0, ids, [piece.column(1), piece.column(4)] if row else [])
+
+    return both.mapInArrow(merge, made)
 
 
-def cut(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """(doc_id, text, *keep): every row of docs with its merged removal spans cut out of the text."""
-    found = find(docs, benchmark, keep=keep, **options)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).alias("out"))
-    rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])))
-    return found.select("doc_id", F.when(F.size("spans") > 0, rest).otherwise(F.col("text")).alias("text"), *keep)
+def cut(docs: DataFrame, benchmark: DataFrame, row: bool = False, **options) -> DataFrame:
+    """(doc_id, text[, row]): every row of docs with its merged removal spans cut out of the text; null texts become empty ones.
+
+    row, nulls, repeats and empty tables: as for find().
+    """
+    found = find(docs, benchmark, row=True, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+                out.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), *batch.columns[3:]], names=made.names)
+
+    found = found.select("doc_id", "text", "spans", *(["row"] if row else []))
+    made = common.schema("doc_id long, text string")
+    if row:
+        made = made.add("row", found.schema["row"].dataType)
+    return found.mapInArrow(run, made)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -123,12 +123,13 @@ def _identities(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> l
     return out
 
 
-def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, hub_rounds: int = HUB_ROUNDS, small: int = SMALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, kept) of each row: class_id is the smallest doc_id that is reachable by links of `similar` or more.
+def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, hub_rounds: int = HUB_ROUNDS, small: int = SMALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """(doc_id, class_id, kept[, text_h]) of each row: class_id is the smallest doc_id that is reachable by links of `similar` or more.
 
     Texts without words (null, empty, white space) link with nothing: each is its own class. Rows of one id count as the
     documents that they are, by text; a class whose rows have no id has none. kept: the row has the class's id. Rows that
-    repeat id and text are all kept or all not.
+    repeat id and text are all kept or all not. text_hash: with the xxhash64 of the row's text (a null one counts as empty).
+    An empty table gives an empty one.
     """
     texts = common.as_texts(docs, id_col, text_col)
 
@@ -143,9 +144,9 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
                     code = mix(code ^ (own[:, :, j] + np.uint64(j + 1)))
                 code = mix(code + np.arange(bands, dtype=np.uint64))
                 node = _identities(doc, h, weight, n)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(node, pa.binary()), pa.array([c if k else None for c, k in zip(code.view(np.int64).tolist(), node)], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(node, pa.binary()), pa.array([c if k else None for c, k in zip(code.view(np.int64).tolist(), node)], pa.list_(pa.int64()))], names=["doc_id", "text_h", "node", "bands"])
 
-    signed = common.stored(texts.mapInArrow(sign, "doc_id long, node binary, bands array<long>"), "neardup-signed")
+    signed = common.stored(texts.select("doc_id", "text", F.xxhash64("text").alias("text_h")).mapInArrow(sign, "doc_id long, text_h long, node binary, bands array<long>"), "neardup-signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
     members = common.stored(nodes.select("node", "doc_id", F.explode("bands").alias("band")), "neardup-bands")
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -216,9 +217,9 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
     placed = nodes.select("node", "doc_id").join(united, "node", "left").select("node", F.col("doc_id").alias("least"), F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("least").alias("class_id"))
     own = placed.join(smallest, "component").select("node", "class_id")
-    out = signed.select("doc_id", "node").join(own, "node", "left")
-    out = out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    out = signed.select("doc_id", "text_h", "node").join(own, "node", "left")
+    out = out.select("doc_id", "text_h", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), *(["text_h"] if text_hash else []))
 
 
 def crossing(sets: list[np.ndarray], weights: list[np.ndarray], component: list, side: np.ndarray, first: int, second: int, similar: float) -> list[tuple[int, int]]:

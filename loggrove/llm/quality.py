@@ -141,24 +141,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return Model(good, bad, *calibrate(np.array([r.f for r in rows]), np.array([r.quality for r in rows], dtype=float), weights))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score double, predicted int, *keep): one pass over the texts; label, language, source and id don't count.
+def score(docs: DataFrame, model: Model, row: bool = False) -> DataFrame:
+    """(doc_id, score double, predicted int[, text, row]): one pass over the texts; label, language, source and id don't count.
 
-    Null texts score as empty ones. The model (two dictionaries of DICTIONARY_BYTES at most) is broadcast.
+    row: a struct of all other columns of docs, and the text as it came, so none of them can clash with these names. Null texts
+    score as empty ones; repeated rows stay, equal texts have equal scores; a score of 0.5 is predicted 1; an empty table gives
+    an empty one. The model (two dictionaries of DICTIONARY_BYTES at most) is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    extra = docs.select(*[F.col(c) for c in keep]).schema
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__scored"), *keep)
+    extra = [common.packed(docs, ("text",)).alias("row")] if row else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         sizes = Sizes(model.good, model.bad)
         for batch in batches:
-            for piece in common.pieces(batch, "__scored", 8 * common.PIECE_BYTES):
-                s = model.score(np.array([sizes.features(t) for t in piece.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *piece.columns[2:]], names=["doc_id", "score", "predicted", *keep])
-
-    out = common.schema("doc_id long, score double, predicted int")
-    for f in extra.fields:
-        out = out.add(f)
-    return base.mapInArrow(run, out)
+            for piece in common.pieces(batch, limit=8 * common.PIECE_BYTES):
+                s = model.score(np.array([sizes.features(t or "") for t in piece.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *(piece.columns[1:] if row else [])], names=made.names)
+
+    made = common.schema("doc_id long, score double, predicted int")
+    if row:
+        for f in base.schema.fields[1:]:
+            made = made.add(f.name, f.dataType)
+    return base.mapInArrow(run, made)
