@@ -13,46 +13,61 @@ from pyspark.sql import functions as F
 from loggrove.llm import bpe, common, contamination, linededup, neardup, quality
 from loggrove.llm.queries import vocabulary_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-
-
-def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of documents again, n_chars by the text that is left."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*[c for c in like.columns])
+def _as_documents(out: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of documents again, from (text, row) of an operator: n_chars by the text that is left, the others as they came."""
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in like.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go; it learns from the labels of this table's rows."""
+    """Documents that the model rejects go; it learns from the labels of this table's rows.
+
+    Null and empty texts are judged as empty ones, repeated rows alike; without labels nothing goes. Other columns stay as they
+    are, whatever their names. An empty table stays empty.
+    """
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score(docs, model, keep=rest).where("predicted = 1").select(*docs.columns)
+    kept = quality.score(docs, model, row=True).where("predicted = 1")
+    return kept.select(*[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and documents of which no word is left."""
-    cut = linededup.dedup(docs, keep=_kept(docs))
+    """Later repeated runs of lines go, and documents of which no word is left.
+
+    Null texts become empty ones and stay, as empty ones do; rows that repeat id and text get the same result. n_chars is that
+    of the text that is left, other columns stay as they are, whatever their names. An empty table stays empty.
+    """
+    cut = linededup.dedup(docs, row=True)
     return _as_documents(cut.where("n_removed = 0 or text rlike '\\\\S'"), docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that with the smallest id."""
-    classes = neardup.classes(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class stays: that with the smallest id.
+
+    Texts without words (null, empty) are their own classes and stay; rows that repeat id and text stay or go together; rows
+    without an id go if a document with one is in their class. Columns stay as they are. An empty table stays empty.
+    """
+    gone = neardup.classes(docs, text_hash=True).where("not kept").select("doc_id", "text_h").distinct()
+    text_h = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (text_h == gone["text_h"]), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark are cut out; the rest of a document stays."""
-    cut = contamination.cut(docs, common.table(spark, sf_dir, "benchmark"), keep=_kept(docs))
-    return _as_documents(cut, docs)
+    """Passages of benchmark are cut out; the rest of a document stays.
+
+    Null texts become empty ones; documents stay, even those of which nothing is left. n_chars is that of the text that is
+    left, other columns stay as they are, whatever their names. An empty table, or an empty benchmark, changes nothing.
+    """
+    return _as_documents(contamination.cut(docs, common.table(spark, sf_dir, "benchmark"), row=True), docs)
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of ids and of what they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): token ids of each document, with digests of ids and of what they decode to.
+
+    Null and empty texts have no ids; repeated rows stay; extra columns go. An empty table stays empty.
+    """
     return bpe.digests(docs, vocabulary_path("word_bpe_49k.json"), with_ids=True)
 
 
@@ -60,6 +75,7 @@ STAGES = [(f.__name__, f) for f in (quality_classifier, line_dedup, minhash_near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage: documents through all stages, in order; each output is a table of its own in the shared folder."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), name)
