@@ -75,6 +75,26 @@ def join_spread(rows: DataFrame, unique: DataFrame, on: str, n: str = "n", how:
     return hot.unionByName(cold)
 
 
+def join_salted(rows: DataFrame, table: DataFrame, on: str, by: str, keys: DataFrame | None = None) -> DataFrame:
+    """rows joined with table (one row for each key, of any size) without sending a frequent key of rows to one task.
+
+    keys: a stored table with the keys of rows, as often as rows has them (rows itself, if it is stored).
+
+    A frequent key (as in join_spread) is split by a hash of column `by` into as many parts as keep each below that share, and
+    its row of table is repeated for each part. Only keys and numbers of parts are broadcast, fewer than FREQUENT_KEYS.
+    """
+    counts = stored((rows if keys is None else keys).groupBy(on).agg(F.count("*").alias("n")), f"counts-{on}")
+    top = counts.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    limit = max(FREQUENT_ROWS, (top["all"] or 0) / FREQUENT_KEYS)
+    if (top["most"] or 0) <= limit:
+        return rows.join(table, on)
+    frequent = F.broadcast(counts.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+    parts_ = F.coalesce("__parts", F.lit(1))
+    left = rows.join(frequent, on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts_).cast("int")).drop("__parts")
+    right = table.join(frequent, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts_ - 1))).drop("__parts")
+    return left.join(right, [on, "__salt"]).drop("__salt")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

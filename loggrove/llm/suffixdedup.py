@@ -4,7 +4,7 @@ A byte goes if a string of `least` bytes (100) that covers it also starts earlie
 same one. Sorting all suffixes of a corpus together isn't needed for that. Every such string holds the least of its q-gram
 hashes (an anchor, about one for 40 bytes), which its content alone chooses, so equal strings have equal anchors:
 
-1. each document gives its anchors: hash of the q-gram, hash of all bytes of the strings that belong to the anchor;
+1. each document gives its anchors: hash of the q-gram, 128-bit hash of all bytes of the strings that belong to the anchor;
 2. anchors meet by their q-gram, dealt in packed blobs. An anchor whose q-gram is unique is done; one with the same bytes as
    an earlier one is repeated as a whole; the rest must be compared;
 3. those send their bytes (the strings that belong to the anchor, 100 to 180 bytes);
@@ -41,9 +41,11 @@ PIECE_ANCHORS = 200_000
 PART = 1 << 19
 #: Rows of one q-gram from which they are dealt by string.
 HOT = 100_000
+#: Bytes of text whose anchors meet in one bucket, about: a worker holds one bucket at a time.
+BUCKET_BYTES = 64 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
-ANCHOR = (("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("p", "<u4"), ("n", "u1"), ("off", "u1"))
+ANCHOR = (("h", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("p", "<u4"), ("n", "u1"), ("off", "u1"))
 WHOLE = (("doc", "<i8"), ("th", "<i8"), ("p", "<u4"), ("n", "<u4"))
 DEFER = (("h", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("p", "<u4"), ("n", "u1"), ("off", "u1"))
 MARK = (("h", "<u8"),)
@@ -100,27 +102,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of any range of raw."""
+    """Hashes of the ranges of one length of raw."""
 
     def __init__(self, raw: np.ndarray):
         up, self.down = powers(len(raw) + 1)
         self.upto = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=self.upto[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.upto[end] - self.upto[start]) * self.down[start])
-
     def all(self, length: int) -> np.ndarray:
         n = len(self.upto) - length
         return mixed((self.upto[length:] - self.upto[:n]) * self.down[:n])
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> dict[str, np.ndarray]:
-    """Anchors of texts that lie one after the other in raw: text, first string start p (in raw), number of further starts n, offset of the anchor from p, hashes h and c."""
+    """Anchors of texts that lie one after the other in raw: text, first string start p (in raw), number of further starts n, offset of the anchor from p, hash h of the q-gram, and the halves c and c2 of the hash of the strings' bytes."""
     gram = min(GRAM, least)
     width = least - gram + 1
     valid = np.maximum(lengths - least + 1, 0)
-    none = {c: np.zeros(0, np.int64) for c in ("text", "p", "n", "off")} | {c: np.zeros(0, np.uint64) for c in ("h", "c")}
+    none = {c: np.zeros(0, np.int64) for c in ("text", "p", "n", "off")} | {c: np.zeros(0, np.uint64) for c in ("h", "c", "c2")}
     if not valid.any():
         return none
     ranges = Hashes(raw)
@@ -142,7 +141,9 @@ def anchors(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int
     p, at, text = p[head], at[head], text[head]
     long = n > 200  # can't be: a window has fewer starts
     assert not long.any()
-    return {"text": text, "p": p, "n": n, "off": at - p, "h": h[at], "c": ranges.of(p, p + n + least) ^ mixed((n * 256 + (at - p)).astype(np.uint64) + np.uint64(1))}
+    data = memoryview(raw)
+    own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(p.tolist(), (p + n + least).tolist())), "<u8").reshape(-1, 2)
+    return {"text": text, "p": p, "n": n, "off": at - p, "h": h[at], "c": own[:, 0], "c2": own[:, 1]}
 
 
 def parts_of(texts: list[bytes], least: int, limit: int = PART) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -182,7 +183,7 @@ def runs(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def local(a: dict[str, np.ndarray], most: int = OFTEN) -> tuple[dict, dict, dict, np.ndarray]:
     """Of a piece's anchors: repeats of a whole anchor within the piece; rows to deal by string; rows to meet; marks of frequent q-grams."""
-    by, same = first_of([a["h"], a["c"]], [a["doc"], a["th"], a["p"]])
+    by, same = first_of([a["h"], a["c"], a["c2"]], [a["doc"], a["th"], a["p"]])
     whole = {c: a[c][by[same]] for c in ("doc", "th", "p", "n")}
     left = {c: v[by[~same]] for c, v in a.items()}
     head = np.r_[True, left["h"][1:] != left["h"][:-1]] if len(left["h"]) else np.zeros(0, dtype=bool)
@@ -249,10 +250,10 @@ def _rows(columns: dict[str, np.ndarray], kind: int) -> pa.RecordBatch:
 ROWS = "doc_id long, th long, p long, n long, h long, kind int"
 
 
-def repeats(docs: DataFrame, least: int = LEAST, often: int = OFTEN, hot: int = HOT, part: int = PART, piece_anchors: int = PIECE_ANCHORS) -> DataFrame:
-    """(doc_id, th, p, n): starts p to p + n of strings that also start earlier, for docs (doc_id not null, th, text)."""
+def repeats(docs: DataFrame, least: int = LEAST, often: int = OFTEN, hot: int = HOT, part: int = PART, piece_anchors: int = PIECE_ANCHORS, n_bytes: int = 0) -> DataFrame:
+    """(doc_id, th, p, n): starts p to p + n of strings that also start earlier, for docs (doc_id not null, th, text) of n_bytes in all."""
     spark = docs.sparkSession
-    buckets = 4 * common.parts(spark)
+    buckets = max(4 * common.parts(spark), -(-n_bytes // BUCKET_BYTES))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[dict[str, np.ndarray]] = []
@@ -297,7 +298,7 @@ def repeats(docs: DataFrame, least: int = LEAST, often: int = OFTEN, hot: int =
             a = joined(got[1], 1)
             if not len(a["h"]):
                 continue
-            by, same = first_of([a["h"], a["c"]], [a["doc"], a["th"], a["p"]])
+            by, same = first_of([a["h"], a["c"], a["c2"]], [a["doc"], a["th"], a["p"]])
             if same.any():
                 yield _rows(runs({c: a[c][by[same]] for c in ("doc", "th", "p", "n")}), 0)
             left = {c: v[by[~same]] for c, v in a.items()}
@@ -404,19 +405,23 @@ def remove(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col
 
     Null and empty texts have no bytes; texts shorter than `least` lose none. Rows with neither another id nor another text
     count as one document and get the same result; rows of one id with other texts are ordered by a hash of the text; rows
-    without an id come first. Texts are shuffled twice, once for each join.
+    without an id come first. Extra columns aren't read; an empty table gives an empty one. Texts are shuffled once.
     """
     base = common.as_texts(docs, id_col, text_col)
-    repeated = not base.groupBy(F.coalesce("doc_id", F.lit(0))).count().where("count > 1").isEmpty()
-    base = base.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("th"), "text")
-    found = repeats(base, least, **tuning).groupBy("doc_id", "th").agg(F.collect_list("p").alias("p"), F.collect_list("n").alias("n"))
-    joined_ = base.join(found, ["doc_id", "th"], "left").select("doc_id", "no_id", "text", "p", "n")
+    held = base.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).agg(F.max("n").alias("most"), F.sum("size").alias("size")).first()
+    # the lowest bit of th says that the row has no id
+    th = F.xxhash64("text") if (held["most"] or 0) > 1 else F.lit(0).cast("long")
+    th = th.bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    base = base.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), th.alias("th"), "text")
+    found = repeats(base, least, n_bytes=held["size"] or 0, **tuning).groupBy("doc_id", "th").agg(F.collect_list("p").alias("p"), F.collect_list("n").alias("n"))
+    # both joins with the texts need the same columns in the same places, so they share one exchange
+    joined_ = base.join(found, ["doc_id", "th"], "left").select("doc_id", "th", "text", "p", "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.pieces(batch, limit=4 * common.PIECE_BYTES):
                 out = []
-                for doc, none, text, p, n in zip(*(c.to_pylist() for c in piece.columns)):
+                for doc, th, text, p, n in zip(*(c.to_pylist() for c in piece.columns)):
                     raw = text.encode()
                     kept, gone, count, at = [], 0, 0, 0
                     for s, e in sorted((s, s + m + least) for s, m in zip(p or (), n or ())):
@@ -429,7 +434,7 @@ def remove(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col
                             gone += e - at
                             at = e
                     data = b"".join([*kept, raw[at:]])
-                    out.append((None if none else doc, len(raw), gone, count, hashlib.sha256(data).hexdigest(), data))
+                    out.append((None if th & 1 else doc, len(raw), gone, count, hashlib.sha256(data).hexdigest(), data))
                 columns = list(zip(*out))
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(arrays[: 5 + keep_bytes], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_bytes])
