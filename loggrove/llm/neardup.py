@@ -30,8 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 4 registers: a pair of similarity 0.8 is missed with probability 3e-5.
 BANDS, BAND = 20, 4
 HUB_ROUNDS = 2
-#: Members up to which the rest of a band is compared as pairs, and members of a block of a larger one.
-SMALL, BLOCK = 16, 1024
+#: Members up to which the rest of a band is compared as pairs; members, and bytes of shingles, of a block of a larger one, about.
+SMALL, BLOCK, BLOCK_BYTES = 16, 4096, 32 << 20
 SAME = np.arange(256, dtype=np.uint8)
 BLACK = ~np.isin(SAME, [9, 10, 11, 12, 13, 32])
 STEP = 0x9E3779B97F4A7C15
@@ -123,7 +123,7 @@ def _identities(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> l
     return out
 
 
-def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, hub_rounds: int = HUB_ROUNDS, small: int = SMALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, hub_rounds: int = HUB_ROUNDS, small: int = SMALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
     """(doc_id, class_id, kept[, text_h]) of each row: class_id is the smallest doc_id that is reachable by links of `similar` or more.
 
     Texts without words (null, empty, white space) link with nothing: each is its own class. Rows of one id count as the
@@ -147,10 +147,11 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(node, pa.binary()), pa.array([c if k else None for c, k in zip(code.view(np.int64).tolist(), node)], pa.list_(pa.int64()))], names=["doc_id", "text_h", "node", "bands"])
 
     signed = common.stored(texts.select("doc_id", "text", F.xxhash64("text").alias("text_h")).mapInArrow(sign, "doc_id long, text_h long, node binary, bands array<long>"), "neardup-signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
-    members = common.stored(nodes.select("node", "doc_id", F.explode("bands").alias("band")), "neardup-bands")
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = common.stored(members.join(shared, "band").select("band", "n", "node", "doc_id"), "neardup-members")
+    first = F.min(F.struct("doc_id", "text_h"))
+    nodes = common.stored(signed.where("node is not null").groupBy("node").agg(first.alias("at"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "neardup-nodes")
+    members = common.stored(nodes.select("node", F.explode("bands").alias("band")), "neardup-bands")
+    shared = common.stored(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
+    members = common.stored(common.join_spread(members, shared, "band").select("band", "n", "node"), "neardup-members")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +168,8 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
                     at = e
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.binary()), "h": pa.array(hs, pa.binary()), "w": pa.array(ws, pa.binary())})
 
-    wanted = members.select("node", "doc_id").distinct()
-    same = texts.join(wanted.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "text", "node")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("at.doc_id").alias("own"), F.col("at.text_h").alias("own_h"))
+    same = texts.withColumn("text_h", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_h") == F.col("own_h"))).select("doc_id", "text", "node")
     weighed = common.stored(same.mapInArrow(weigh, "node binary, h binary, w binary").dropDuplicates(["node"]), "neardup-shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +182,10 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        right = pairs.join(weighed.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb")), "b")
-        full = right.join(weighed.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa")), "a")
+        """A hub stands in as many pairs as its band has members: its pairs are split, and its shingles repeated for each part."""
+        pairs = common.stored(pairs, f"{name}-pairs")
+        right = common.join_salted(pairs, weighed.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb")), "b", "a")
+        full = common.join_salted(right, weighed.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa")), "a", "b", keys=pairs)
         return common.stored(full.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(verify, "a binary, b binary, linked boolean"), name)
 
     done, more = None, None
@@ -191,21 +194,21 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
             open_ = members.select("band", "n", "node", F.col("node").alias("component"))
         else:
             united = components_of(done, f"neardup-{k}")
-            open_ = members.where("n > 2").join(united, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component"))
-            several = open_.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-            open_ = common.stored(open_.join(several, "band"), f"neardup-open-{k}")
+            open_ = common.stored(members.where("n > 2").join(united, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component")), f"neardup-labels-{k}")
+            several = open_.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "n")
+            open_ = common.stored(common.join_spread(open_.drop("n"), common.stored(several, f"neardup-several-{k}"), "band"), f"neardup-open-{k}")
             if open_.isEmpty():
                 break
         if k < hub_rounds:
             # the hub of a band: its first node by an order that changes from round to round
             rank = F.struct(F.xxhash64(F.lit(k), "node"), F.col("node"), F.col("component"))
-            hubs = open_.groupBy("band").agg(F.min(rank).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"))
-            pairs = open_.join(hubs, "band").where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            hubs = open_.groupBy("band").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).select("band", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"), "n")
+            pairs = common.join_spread(open_.drop("n"), common.stored(hubs, f"neardup-hubs-{k}"), "band").where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
             few = open_.where(F.col("n") <= small)
             other = few.select("band", F.col("node").alias("b"), F.col("component").alias("c"))
             pairs = few.join(other, "band").where("component < c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-            more = in_blocks(open_.where(F.col("n") > small), weighed, similar, block)
+            more = in_blocks(open_.where(F.col("n") > small), weighed, similar, block, block_bytes)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
@@ -214,11 +217,12 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
     if more is not None:
         done = done.unionByName(more)
     united = components_of(done, "neardup-end")
-    placed = nodes.select("node", "doc_id").join(united, "node", "left").select("node", F.col("doc_id").alias("least"), F.coalesce("component", "node").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min("least").alias("class_id"))
-    own = placed.join(smallest, "component").select("node", "class_id")
-    out = signed.select("doc_id", "text_h", "node").join(own, "node", "left")
-    out = out.select("doc_id", "text_h", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    placed = common.stored(nodes.select("node", "least", F.col("n").alias("rows")).join(united, "node", "left").withColumn("component", F.coalesce("component", "node")), "neardup-placed")
+    smallest = common.stored(placed.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("n")), "neardup-classes")
+    own = common.stored(common.join_spread(placed, smallest, "component").select("node", "class_id", F.col("rows").alias("n")), "neardup-own")
+    # rows without words need no join, and would all meet at one key
+    full = common.join_spread(signed.where("node is not null").select("doc_id", "text_h", "node"), own, "node").select("doc_id", "text_h", "class_id")
+    out = full.unionByName(signed.where("node is null").select("doc_id", "text_h", F.col("doc_id").alias("class_id")))
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), *(["text_h"] if text_hash else []))
 
 
@@ -261,10 +265,17 @@ def crossing(sets: list[np.ndarray], weights: list[np.ndarray], component: list,
     return out
 
 
-def in_blocks(open_: DataFrame, weighed: DataFrame, similar: float, block: int) -> DataFrame:
-    """(a, b, linked) for the links between components within each large band; its members are dealt in pairs of blocks."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = open_.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def in_blocks(open_: DataFrame, weighed: DataFrame, similar: float, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b, linked) for the links between components within each large band; its members are dealt in pairs of blocks.
+
+    A band has as many blocks as keep each at about block members and block_bytes of shingles. Only ids are dealt; shingles are
+    joined to what has been dealt.
+    """
+    sizes = weighed.select("node", (F.octet_length("h") + F.octet_length("w")).cast("long").alias("size"))
+    bands = open_.select("band", "node").join(sizes, "node").groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    bands = common.stored(bands.select("band", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / block_bytes), F.lit(1)).cast("int").alias("blocks")), "neardup-block-counts")
+    dealt = common.join_spread(open_.select("band", "node", "component"), bands, "band")
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component").join(weighed, "node")
 
     def within(key, table):
