@@ -58,37 +58,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 FREQUENT_KEYS, FREQUENT_ROWS = 1000, 1000
 
 
-def join_spread(rows: DataFrame, unique: DataFrame, on: str, n: str = "n", how: str = "inner") -> DataFrame:
+def frequent_limit(rows: int | None) -> float:
+    """Rows of a key beyond which it is frequent, out of so many rows; fewer than FREQUENT_KEYS keys can be."""
+    return max(FREQUENT_ROWS, (rows or 0) / FREQUENT_KEYS)
+
+
+def join_spread(rows: DataFrame, unique: DataFrame, on: str, n: str = "n", how: str = "inner", limit: float | None = None) -> DataFrame:
     """rows joined with unique (one row for each key, n: how many rows have it) without shuffling a frequent key into one task.
 
     A key with more than 1 / FREQUENT_KEYS of all rows is frequent; there are fewer than FREQUENT_KEYS of those, so they may be
     broadcast, whatever the data. All other keys are joined by a shuffle. Both tables should be stored ones: they are read twice.
-    how: inner or left.
+    how: inner or left. limit: frequent_limit() of the rows, where it is known.
     """
-    top = unique.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
-    limit = max(FREQUENT_ROWS, (top["all"] or 0) / FREQUENT_KEYS)
-    if (top["most"] or 0) <= limit:
-        return rows.join(unique, on, how)
+    if limit is None:
+        top = unique.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+        limit = frequent_limit(top["all"])
+        if (top["most"] or 0) <= limit:
+            return rows.join(unique, on, how)
     frequent = unique.where(F.col(n) > limit)
     hot = rows.join(F.broadcast(frequent), on)
     cold = rows.join(F.broadcast(frequent.select(on)), on, "left_anti").join(unique.where(F.col(n) <= limit), on, how)
     return hot.unionByName(cold)
 
 
-def join_salted(rows: DataFrame, table: DataFrame, on: str, by: str, keys: DataFrame | None = None) -> DataFrame:
+def join_salted(rows: DataFrame, table: DataFrame, on: str, by: str, keys: DataFrame, limit: float) -> DataFrame:
     """rows joined with table (one row for each key, of any size) without sending a frequent key of rows to one task.
 
-    keys: a stored table with the keys of rows, as often as rows has them (rows itself, if it is stored).
-
-    A frequent key (as in join_spread) is split by a hash of column `by` into as many parts as keep each below that share, and
-    its row of table is repeated for each part. Only keys and numbers of parts are broadcast, fewer than FREQUENT_KEYS.
+    keys: a stored table with the keys of rows, as often as rows has them; limit: frequent_limit() of its rows or more. A
+    frequent key is split by a hash of column `by` into as many parts as keep each below the limit, and its row of table is
+    repeated for each part. Only keys and numbers of parts are broadcast, fewer than FREQUENT_KEYS.
     """
-    counts = stored((rows if keys is None else keys).groupBy(on).agg(F.count("*").alias("n")), f"counts-{on}")
-    top = counts.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
-    limit = max(FREQUENT_ROWS, (top["all"] or 0) / FREQUENT_KEYS)
-    if (top["most"] or 0) <= limit:
-        return rows.join(table, on)
-    frequent = F.broadcast(counts.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+    frequent = F.broadcast(keys.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
     parts_ = F.coalesce("__parts", F.lit(1))
     left = rows.join(frequent, on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts_).cast("int")).drop("__parts")
     right = table.join(frequent, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts_ - 1))).drop("__parts")

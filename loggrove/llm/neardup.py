@@ -31,7 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND = 20, 4
 HUB_ROUNDS = 2
 #: Members up to which the rest of a band is compared as pairs; members, and bytes of shingles, of a block of a larger one, about.
-SMALL, BLOCK, BLOCK_BYTES = 16, 4096, 32 << 20
+SMALL, BLOCK, BLOCK_BYTES = 16, 2048, 32 << 20
 SAME = np.arange(256, dtype=np.uint8)
 BLACK = ~np.isin(SAME, [9, 10, 11, 12, 13, 32])
 STEP = 0x9E3779B97F4A7C15
@@ -151,7 +151,14 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
     nodes = common.stored(signed.where("node is not null").groupBy("node").agg(first.alias("at"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "neardup-nodes")
     members = common.stored(nodes.select("node", F.explode("bands").alias("band")), "neardup-bands")
     shared = common.stored(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
-    members = common.stored(common.join_spread(members, shared, "band").select("band", "n", "node"), "neardup-members")
+    top = shared.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    limit = common.frequent_limit(top["all"])
+    hot = (top["most"] or 0) > limit  # without a hot band no hub stands in many pairs either
+
+    def at_bands(rows: DataFrame, unique: DataFrame) -> DataFrame:
+        return common.join_spread(rows, unique, "band", limit=limit) if hot else rows.join(unique, "band")
+
+    members = common.stored(at_bands(members, shared).select("band", "n", "node"), "neardup-members")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +190,13 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """A hub stands in as many pairs as its band has members: its pairs are split, and its shingles repeated for each part."""
-        pairs = common.stored(pairs, f"{name}-pairs")
-        right = common.join_salted(pairs, weighed.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb")), "b", "a")
-        full = common.join_salted(right, weighed.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa")), "a", "b", keys=pairs)
+        shingles_of = {x: weighed.select(F.col("node").alias(x), F.col("h").alias(f"h{x}"), F.col("w").alias(f"w{x}")) for x in "ab"}
+        if hot:
+            pairs = common.stored(pairs, f"{name}-pairs")
+            right = common.join_salted(pairs, shingles_of["b"], "b", "a", pairs, limit)
+            full = common.join_salted(right, shingles_of["a"], "a", "b", pairs, limit)
+        else:
+            full = pairs.join(shingles_of["b"], "b").join(shingles_of["a"], "a")
         return common.stored(full.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(verify, "a binary, b binary, linked boolean"), name)
 
     done, more = None, None
@@ -196,14 +207,14 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
             united = components_of(done, f"neardup-{k}")
             open_ = common.stored(members.where("n > 2").join(united, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component")), f"neardup-labels-{k}")
             several = open_.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "n")
-            open_ = common.stored(common.join_spread(open_.drop("n"), common.stored(several, f"neardup-several-{k}"), "band"), f"neardup-open-{k}")
+            open_ = common.stored(at_bands(open_.drop("n"), common.stored(several, f"neardup-several-{k}")), f"neardup-open-{k}")
             if open_.isEmpty():
                 break
         if k < hub_rounds:
             # the hub of a band: its first node by an order that changes from round to round
             rank = F.struct(F.xxhash64(F.lit(k), "node"), F.col("node"), F.col("component"))
             hubs = open_.groupBy("band").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).select("band", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"), "n")
-            pairs = common.join_spread(open_.drop("n"), common.stored(hubs, f"neardup-hubs-{k}"), "band").where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            pairs = at_bands(open_.drop("n"), common.stored(hubs, f"neardup-hubs-{k}")).where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
             few = open_.where(F.col("n") <= small)
             other = few.select("band", F.col("node").alias("b"), F.col("component").alias("c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, contamination, linededup, neardup, pii, quality, secrets, suffixdedup, tokenfile, vectors
+from . import base_sql, bpe, common, contamination, linededup, neardup, pii, quality, secrets, suffixdedup, tokenfile, vectors
 
 
 def vocabulary_path(name: str) -> str:
@@ -57,5 +57,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_pii, op5_bpe_codec, op6_suffix_dedup, op7_token_files, op8_secret_scan, op9_embedding_near_dedup, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.oracle(), "op10_decontamination": contamination.oracle(), "op9_embedding_near_dedup": vectors.oracle()}
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_pii gives that SQL can express."""
+    return op4_pii(spark, sf_dir).drop("spans")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_secret_scan gives that SQL can express."""
+    return op8_secret_scan(spark, sf_dir).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_pii, op5_bpe_codec, op6_suffix_dedup, op7_token_files, op8_secret_scan, op9_embedding_near_dedup, op10_decontamination, pii_base, secret_base)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.oracle(), "op10_decontamination": contamination.oracle(), "op9_embedding_near_dedup": vectors.oracle(), "pii_base": base_sql.oracle(base_sql.PII), "secret_base": base_sql.oracle(base_sql.SECRETS)}
