@@ -17,14 +17,14 @@ def stream_id(labels: dict[str, str]) -> int:
 
 
 def with_stream_id(df: DataFrame, labels: str = "labels") -> DataFrame:
-    """df with stream_id from a map of labels. Only distinct label sets are hashed in Python, then joined back."""
-    key = F.to_json(F.array_sort(F.map_entries(labels)))
+    """df with stream_id from a map of labels; no labels (null) are an empty set, a null value is an empty one. Only distinct label sets are hashed in Python, then joined back."""
+    key = F.coalesce(F.to_json(F.array_sort(F.map_entries(labels))), F.lit("[]"))
 
     @F.pandas_udf("long")
     def hashed(text: pd.Series) -> pd.Series:
         import json
 
-        return text.map(lambda t: stream_id({e["key"]: e.get("value", "") for e in json.loads(t)}))
+        return text.map(lambda t: stream_id({e["key"]: e.get("value") or "" for e in json.loads(t)}))
 
     keyed = df.withColumn("__labels", key)
     ids = keyed.select("__labels").distinct().select("__labels", hashed("__labels").alias("stream_id"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from concurrent.futures import TimeoutError as Late
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 from ..plans.query import Query
 from ..plans.stats import SearchStats
 from ..schema import LOG_SCHEMA, normalise
-from ..sources.manifest import Manifest
-from ..sources.table import LogStorage, LogTable
+from ..sources.manifest import Files, Manifest, unreachable
+from ..sources.table import Answer, LogStorage, LogTable
 from .routing import Policy, route
 
+#: Seconds for which a root that couldn't be written isn't tried again; seconds that close() waits.
+COOL_OFF, CLOSE = 10.0, 5.0
+
 
 class NodesUnavailable(RuntimeError):
     def __init__(self, roots: list[str], stats: SearchStats):
@@ -24,80 +28,140 @@ class NodesUnavailable(RuntimeError):
         self.stats = stats
 
 
-@dataclass
-class Answer:
-    rows: DataFrame
-    stats: SearchStats
-
-    @property
-    def is_partial(self) -> bool:
-        return self.stats.is_partial
-
-
 class ClusterTable(LogStorage):
-    """A strict query fails if a root is down; one that allows partial answers says that it is partial. Never silently less."""
+    """A strict query fails if a root is down; one that allows partial answers says that it is partial. Never silently less.
 
-    def __init__(self, spark: SparkSession, roots: list[str], policy: Policy = Policy.HYBRID, threshold: int = 1000, **options):
-        self.spark, self._staged = spark, []
-        self.nodes = [LogTable(spark, r, **options) for r in roots]
+    A root is down if its table is missing or out of reach. Any other error is no reason for less: it is raised. create: make
+    tables at the roots; by default only where none of them has one, so a root that is lost isn't made anew. staging: a folder
+    that all roots' writers reach, for rows between add_rows() and flush(); by default below spark.checkpoint.dir, or else
+    below the first root's parent. options are those of LogTable.
+    """
+
+    def __init__(self, spark: SparkSession, roots: list[str], policy: Policy = Policy.HYBRID, threshold: int = 1000, create: bool | None = None, cool_off: float = COOL_OFF, staging: str | None = None, **options):
+        self.spark, self.cool_off = spark, cool_off
         self.policy, self.threshold = policy, threshold
-        self.rerouted = 0
+        if create is None:
+            create = not any(Manifest.versions(Files(spark, r), r.rstrip("/")) for r in roots)
+        self.nodes = [LogTable(spark, r, create=create, **options) for r in roots]
+        base = staging or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or roots[0].rstrip("/").rpartition("/")[0]
+        self.staging, self.files = f"{base.rstrip('/')}/loggrove-staged-{uuid.uuid4().hex}", Files(spark, base)
+        #: Rows that went to another root than their route says, and rows that each root has taken.
+        self.rerouted, self.rows_of = 0, [0] * len(roots)
+        self._shut: dict[int, float] = {}  # until when a root isn't tried
+        self._staged: list[str] = []
+
+    # writing
 
     def add_rows(self, rows: DataFrame) -> None:
-        """Routes rows once and stages them by node, for a route that is drawn at random must not be computed for each node anew."""
-        up = [k for k in range(len(self.nodes)) if self.available(k)]
-        if not up:
-            raise NodesUnavailable([n.root for n in self.nodes], SearchStats(nodes_queried=len(self.nodes), nodes_failed=len(self.nodes)))
-        routed = route(normalise(rows), len(self.nodes), self.policy, threshold=self.threshold)
-        if len(up) < len(self.nodes):  # rows of those that are down spread over the others
-            self.rerouted += len(self.nodes) - len(up)
-            other = F.element_at(F.array(*map(F.lit, up)), (F.floor(F.rand(2) * len(up)) + 1).cast("int"))
-            routed = routed.withColumn("node", F.when(F.col("node").isin(up), F.col("node")).otherwise(other))
-        at = f"{self.nodes[up[0]].root}/staged/{uuid.uuid4().hex}"
-        routed.write.partitionBy("node").option("compression", "zstd").parquet(at)
-        self._staged.append((up[0], at))
-        files = self.nodes[up[0]].files
-        for k in up:
-            if files.exists(f"{at}/node={k}"):
-                self.nodes[k].add_rows(self.spark.read.schema(LOG_SCHEMA).parquet(f"{at}/node={k}"))
+        """Routes rows once and stages them by node: they are written at flush(), and a route drawn at random must not be drawn again."""
+        at = f"{self.staging}/{uuid.uuid4().hex}"
+        route(normalise(rows), len(self.nodes), self.policy, threshold=self.threshold).write.partitionBy("node").option("compression", "zstd").parquet(at)
+        self._staged.append(at)
 
     def flush(self) -> None:
-        """Flushes all roots at once: each is a few small jobs that leave most executors idle."""
-        with ThreadPoolExecutor(len(self.nodes)) as pool:
-            list(pool.map(LogTable.flush, self.nodes))
-        staged, self._staged = self._staged, []
-        for k, at in staged:
-            self.nodes[k].files.delete(at)
-
-    def available(self, k: int) -> bool:
-        node = self.nodes[k]
-        if getattr(node, "down", False):
+        """Writes what is staged to its roots, all at once. Rows of a root that is down, or fails on the way, are spread over the others.
+
+        A root that fails so isn't tried again for cool_off seconds. If no root is left, what hasn't been written stays staged. A
+        batch is at each moment staged for one root only, so it is written once, unless a root fails after it has published.
+        """
+        for at in list(self._staged):
+            while waiting := [int(n[5:]) for n in self.files.names(at) if n.startswith("node=")]:
+                up = self.up()
+                if not up:
+                    raise NodesUnavailable([n.root for n in self.nodes], SearchStats(nodes_queried=len(self.nodes), nodes_failed=len(self.nodes)))
+                for k in [k for k in waiting if k not in up]:
+                    self._reroute(at, k, up)
+                there = [k for k in up if self.files.exists(f"{at}/node={k}")]
+                with ThreadPoolExecutor(max(1, len(there))) as pool:  # each is a few small jobs that leave most executors idle
+                    list(pool.map(lambda k: self._send(at, k), there))
+            self.files.delete(at)
+            self._staged.remove(at)
+
+    def _batch(self, at: str, k: int) -> DataFrame:
+        return self.spark.read.schema(LOG_SCHEMA).parquet(f"{at}/node={k}")
+
+    def _send(self, at: str, k: int) -> None:
+        node, batch = self.nodes[k], self._batch(at, k)
+        try:
+            node.add_rows(batch)
+            node.flush()
+        except Exception as why:
+            node.drop_waiting()
+            if not unreachable(why) or self._manifest(k):
+                raise
+            self._shut[k] = time.monotonic() + self.cool_off
+            return
+        self.rows_of[k] += batch.count()
+        self.files.delete(f"{at}/node={k}")
+
+    def _reroute(self, at: str, k: int, up: list[int]) -> None:
+        """Stages the rows of root k for the others instead, evenly."""
+        batch = self._batch(at, k)
+        self.rerouted += batch.count()
+        other = F.element_at(F.array(*map(F.lit, up)), (F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(k)), F.lit(len(up))) + 1).cast("int"))
+        batch.withColumn("node", other).write.partitionBy("node").mode("append").option("compression", "zstd").parquet(at)
+        self.files.delete(f"{at}/node={k}")
+
+    # which roots are there
+
+    def _manifest(self, k: int) -> bool:
+        """Whether root k can be reached. A table that is there but wrong (another format) is an error."""
+        if getattr(self.nodes[k], "down", False):
             return False
         try:
-            Manifest.load(node.files, node.root)
+            self.nodes[k].manifest()
             return True
-        except ValueError:
+        except Exception as why:
+            if unreachable(why):
+                return False
             raise
-        except Exception:
-            return False
 
-    def ask(self, query: Query) -> Answer:
-        """Each root gives its own first rows, their union the first of all."""
-        up = [k for k in range(len(self.nodes)) if self.available(k)]
-        stats = SearchStats(nodes_queried=len(self.nodes), nodes_failed=len(self.nodes) - len(up))
-        if not up or (stats.nodes_failed and not query.allow_partial):
-            raise NodesUnavailable([n.root for k, n in enumerate(self.nodes) if k not in up], stats)
-        each = [self.nodes[k].search(query) if query.limit > 0 else self.nodes[k].matching(query) for k in up]
-        return Answer(query.first(reduce(DataFrame.unionByName, each)), stats)
+    def available(self, k: int) -> bool:
+        return self._shut.get(k, 0.0) <= time.monotonic() and self._manifest(k)
+
+    def up(self) -> list[int]:
+        """Roots that can be written."""
+        return [k for k in range(len(self.nodes)) if self.available(k)]
 
-    def search(self, query: Query) -> DataFrame:
-        return self.ask(query).rows
+    # reading
+
+    def ask(self, query: Query) -> Answer:
+        """Each root gives its own first rows, their union the first of all. A root that fails while it is planned counts as down only if it can't be reached."""
+
+        def one(k: int) -> Answer | None:
+            if not self._manifest(k):
+                return None
+            try:
+                return self.nodes[k].ask(query)
+            except Exception as why:
+                if not unreachable(why) or self._manifest(k):
+                    raise
+                return None
+
+        with ThreadPoolExecutor(len(self.nodes)) as pool:  # planning is a small job or two for each root
+            got = list(pool.map(one, range(len(self.nodes))))
+        answers, failed = [a for a in got if a], [k for k, a in enumerate(got) if a is None]
+        down = SearchStats(nodes_queried=len(failed), nodes_failed=len(failed))
+        stats = reduce(SearchStats.merge, [a.stats for a in answers], down)
+        if failed and (not answers or not query.allow_partial):
+            raise NodesUnavailable([self.nodes[k].root for k in failed], stats)
+        # only a limit needs an order within each root
+        each = [a.rows if query.limit > 0 else a.unordered for a in answers]
+        rows = reduce(DataFrame.unionByName, each)
+        return Answer(query.first(rows), stats, tuple(o for a in answers if a.stats.blocks_scanned for o in a.seen), rows)
 
     def explain(self, query: Query) -> SearchStats:
         """What the roots that are up count, and how many are down."""
-        up = [k for k in range(len(self.nodes)) if self.available(k)]
+        up = [k for k in range(len(self.nodes)) if self._manifest(k)]
         down = len(self.nodes) - len(up)
         return reduce(SearchStats.merge, [self.nodes[k].explain(query) for k in up], SearchStats(nodes_queried=down, nodes_failed=down))
 
-    def close(self) -> None:
-        self.flush()
+    def close(self, timeout: float = CLOSE) -> None:
+        """Flushes for timeout seconds at most. What isn't written by then stays staged, and TimeoutError says so."""
+        pool = ThreadPoolExecutor(1)
+        try:
+            pool.submit(self.flush).result(timeout)
+        except Late as why:
+            raise TimeoutError(f"rows are still staged at {self.staging}") from why
+        finally:
+            pool.shutdown(wait=False)

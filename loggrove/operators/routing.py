@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,3 +45,8 @@ def balance(routed: DataFrame, nodes: int) -> DataFrame:
     """(rows, busiest, ratio): the busiest node's rows over the mean."""
     per_node = routed.groupBy("node").agg(F.count("*").alias("n"))
     return per_node.agg(F.sum("n").alias("n_rows"), F.max("n").alias("busiest"), (F.max("n") * nodes / F.sum("n")).alias("ratio"))
+
+
+def predicted_ratio(streams: int, nodes: int) -> float:
+    """The ratio to expect of sticky routing of so many streams of equal size: balls in bins."""
+    return 1 + math.sqrt(2 * math.log(nodes) / (streams / nodes)) if nodes > 1 else 1.0

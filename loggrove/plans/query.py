@@ -12,6 +12,10 @@ from ..functions.tokens import has_token
 from ..schema import DAY_NS, canonical, signed
 
 
+#: Fixed value of the format: filters of a query that comes from outside at most.
+MOST_FILTERS = 999
+
+
 @dataclass(frozen=True)
 class Filter:
     column: str
@@ -39,6 +43,11 @@ class Query:
     def days(self) -> tuple[int, int]:
         return self.min_ts // DAY_NS, self.max_ts // DAY_NS
 
+    def shard(self, shards: int) -> int:
+        """The shard of the stream that is asked for."""
+        m = self.stream_id % 2**64
+        return (m ^ m >> 33) % shards
+
     def to_json(self) -> str:
         own = {"MinTimestamp": self.min_ts, "MaxTimestamp": self.max_ts, "StreamID": self.stream_id, "Filters": [{"Column": f.column, "Token": f.token} for f in self.filters], "Limit": self.limit, "AllowPartialResponse": self.allow_partial}
         return json.dumps(own, ensure_ascii=False)
@@ -46,21 +55,23 @@ class Query:
     @staticmethod
     def from_json(text: str) -> Query:
         x = json.loads(text)
+        if len(x.get("Filters") or ()) > MOST_FILTERS:
+            raise ValueError(f"more than {MOST_FILTERS} filters")
         return Query(x.get("MinTimestamp", 0), x.get("MaxTimestamp", 0), x.get("StreamID"), tuple(Filter(f["Column"], f["Token"]) for f in x.get("Filters") or ()), x.get("Limit", 0), x.get("AllowPartialResponse", False))
 
     def matches(self, ts_ns: int, stream_id: int, fields: dict[str, str]) -> bool:
         """The same predicate on one row in Python: an oracle for tests."""
         return self.min_ts <= ts_ns <= self.max_ts and (self.stream_id is None or signed(self.stream_id) == signed(stream_id)) and all(f.matches(fields.get(f.column)) for f in self.filters)
 
-    def predicate(self, with_day: bool = False) -> Column:
-        """The whole predicate; with_day adds the bounds of the partition column, which Spark doesn't infer from the time range."""
+    def predicate(self, with_day: bool = False, own: dict[str, Column] | None = None) -> Column:
+        """The whole predicate; with_day adds the bounds of the partition column, which Spark doesn't infer from the time range. own: fields with columns of their own."""
         out = F.col("ts_ns").between(self.min_ts, self.max_ts)
         if with_day:
             out = F.col("day").between(*self.days()) & out
         if self.stream_id is not None:
             out = out & self.predicate_stream()
         for f in self.filters:
-            out = out & has_token(F.col("fields")[f.column], f.token)
+            out = out & has_token((own or {}).get(f.column, F.col("fields")[f.column]), f.token)
         return out
 
     def predicate_stream(self) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, fields
 
 
@@ -52,6 +53,14 @@ class SearchStats:
     def as_dict(self) -> dict[str, int]:
         return asdict(self)
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> SearchStats:
+        """Every field, by name; an unknown name is an error, a missing one is 0."""
+        return SearchStats(**json.loads(text))
+
 
 @dataclass
 class GlobalStats:

@@ -15,8 +15,11 @@ LOWEST = -(2**63)
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """The columns of a log row. At rest an empty value is an absent field."""
-    return df.select(F.col("ts_ns").cast("long").alias("ts_ns"), F.col("stream_id").cast("long").alias("stream_id"), F.map_filter("fields", lambda k, v: F.coalesce(v, F.lit("")) != "").alias("fields"))
+    """The columns of a log row. At rest an empty value is an absent field. What is missing (null) is time 0, stream 0, or no fields, as in JSON rows."""
+    zero = F.lit(0).cast("long")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    fields = F.coalesce(F.map_filter("fields", lambda k, v: F.coalesce(v, F.lit("")) != ""), none)
+    return df.select(F.coalesce(F.col("ts_ns").cast("long"), zero).alias("ts_ns"), F.coalesce(F.col("stream_id").cast("long"), zero).alias("stream_id"), fields.alias("fields"))
 
 
 def day_of(ts_ns: Column) -> Column:

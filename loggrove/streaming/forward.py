@@ -1,6 +1,7 @@
 """The forwarder: a durable spool of row batches, and a streaming query with its own checkpoint for each destination.
 
-Delivery is at least once: a batch whose query dies between sending and committing is sent again. An outage of one
+Delivery is at least once: a batch whose query dies between sending and committing is sent again. A file in the spool is
+whole or isn't there (Spark's committer moves it in when it is written); what a dead writer leaves behind is never read. An outage of one
 destination doesn't hold back another. The spool may be bounded: files that every destination has taken go first, and only
 then the oldest of the rest, which are counted as dropped; a file above the bound drops only itself.
 """
@@ -8,6 +9,7 @@ then the oldest of the rest, which are counted as dropped; a file above the boun
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,6 +20,10 @@ from ..schema import LOG_SCHEMA, normalise
 from ..sources.manifest import Files
 
 
+#: Bytes of spooled files in one batch, about.
+BATCH_BYTES = 2 << 20
+
+
 class Unavailable(RuntimeError):
     """The destination can't take rows now: try again."""
 
@@ -36,6 +42,7 @@ class DestinationStats:
     sent: int = 0
     retries: int = 0
     rejected: int = 0
+    last_error: str = ""
 
 
 @dataclass
@@ -50,9 +57,10 @@ class QueueStats:
 
 
 class Forwarder:
-    def __init__(self, spark: SparkSession, root: str, destinations: dict[str, Callable[[DataFrame, int], None]], max_spool_bytes: int = 0, least_wait: float = 0.1, most_wait: float = 10.0, files_per_batch: int = 16):
+    def __init__(self, spark: SparkSession, root: str, destinations: dict[str, Callable[[DataFrame, int], None]], max_spool_bytes: int = 0, least_wait: float = 0.1, most_wait: float = 10.0, bytes_per_batch: int = BATCH_BYTES):
         self.spark, self.root, self.destinations, self.max_spool_bytes = spark, root.rstrip("/"), destinations, max_spool_bytes
-        self.least_wait, self.most_wait, self.files_per_batch = least_wait, most_wait, files_per_batch
+        self.least_wait, self.most_wait, self.bytes_per_batch = least_wait, most_wait, bytes_per_batch
+        self._stopping = threading.Event()
         self.files = Files(spark, root)
         self.stats = {name: DestinationStats() for name in destinations}
         self.dropped_files = self.dropped_bytes = 0
@@ -109,8 +117,10 @@ class Forwarder:
         return QueueStats(len(waiting), sum(waiting), batches, self.dropped_files, self.dropped_bytes)
 
     def start(self, available_now: bool = False) -> None:
+        """A query for each destination; a batch is the spool's next files up to bytes_per_batch (one file at least), each second."""
+        self._stopping.clear()
         for name in self.destinations:
-            source = self.spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", self.files_per_batch).option("ignoreMissingFiles", "true").parquet(f"{self.root}/spool")
+            source = self.spark.readStream.schema(LOG_SCHEMA).option("maxBytesPerTrigger", self.bytes_per_batch).option("ignoreMissingFiles", "true").parquet(f"{self.root}/spool")
             writer = source.writeStream.foreachBatch(self._sender(name)).option("checkpointLocation", f"{self.root}/checkpoints/{name}")
             self.queries[name] = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
@@ -126,10 +136,13 @@ class Forwarder:
                     batch.write.mode("append").parquet(f"{self.root}/dead-letter/{name}")
                     self.stats[name].rejected += 1
                     return
-                except Unavailable:
-                    time.sleep(backoff(attempt, self.least_wait, self.most_wait))
-                    attempt += 1
+                except Exception as why:
+                    # Unavailable, and any error of the destination that isn't a rejection: it may pass
+                    self.stats[name].last_error = f"{type(why).__name__}: {why}"
                     self.stats[name].retries += 1
+                    if self._stopping.wait(backoff(attempt, self.least_wait, self.most_wait)):
+                        raise  # the batch isn't committed: it is sent again after a restart
+                    attempt += 1
 
         return send
 
@@ -142,5 +155,6 @@ class Forwarder:
         until = time.monotonic() + timeout
         while time.monotonic() < until and any(q.isActive and self.queue_stats(name).pending_files for name, q in self.queries.items()):
             time.sleep(0.05)
+        self._stopping.set()
         for q in self.queries.values():
             q.stop()

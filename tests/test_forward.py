@@ -63,3 +63,56 @@ def test_delivered_files_go_uncounted_and_a_large_one_alone(spark, tmp_path):
     f.start()
     f.stop(timeout=60)
     assert f.queue_stats("a").pending_files == 0
+
+
+def test_torn_files_are_never_read(spark, tmp_path):
+    """What a writer that died leaves in the spool: an uncommitted task's file and a hidden one, both cut off."""
+    got = []
+    f = Forwarder(spark, f"file://{tmp_path}/f", {"a": lambda batch, _: got.append(batch.count())})
+    f.add_rows(generate(spark, 100).coalesce(1))
+    spool = tmp_path / "f" / "spool"
+    whole = next(spool.glob("*.parquet")).read_bytes()
+    torn = spool / "_temporary" / "0" / "_temporary" / "attempt_1"
+    torn.mkdir(parents=True)
+    (torn / "part-00000-torn.snappy.parquet").write_bytes(whole[: len(whole) // 2])
+    (spool / ".part-00001.snappy.parquet.tmp").write_bytes(whole[:5])
+    f.add_rows(generate(spark, 50, seed=3).coalesce(1))  # the next writer goes on
+    f.start(available_now=True)
+    f.drain()
+    assert sum(got) == 150 and f.queue_stats("a").pending_files == 0
+
+
+def test_errors_of_a_destination_are_tried_again(spark, tmp_path):
+    calls = []
+
+    def a(batch, _):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("server error")
+
+    f = Forwarder(spark, f"file://{tmp_path}/f", {"a": a}, least_wait=0.01)
+    f.add_rows(generate(spark, 10))
+    f.start(available_now=True)
+    f.drain()
+    assert f.stats["a"].retries == 2 and f.stats["a"].sent >= 1 and "server error" in f.stats["a"].last_error
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    sizes = []
+    f = Forwarder(spark, f"file://{tmp_path}/f", {"a": lambda batch, _: sizes.append(batch.count())}, bytes_per_batch=1)
+    for k in range(3):
+        f.add_rows(generate(spark, 20, seed=k).coalesce(1))
+    f.start(available_now=True)
+    f.drain()
+    assert sizes == [20, 20, 20]  # a file at a time
+
+
+def test_a_stop_ends_the_retries(spark, tmp_path):
+    def a(batch, _):
+        raise Unavailable
+
+    f = Forwarder(spark, f"file://{tmp_path}/f", {"a": a}, least_wait=0.05, most_wait=30.0)
+    f.add_rows(generate(spark, 10))
+    f.start()
+    f.stop(timeout=1.0)
+    assert not any(q.isActive for q in f.queries.values()) and f.queue_stats("a").pending_files > 0
