@@ -306,7 +306,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): tokens as the library's decode gives them, special ones included."""
+    """(doc_id, text) from (doc_id, ids): tokens as the library's decode gives them, special ones included. Null and empty ids are an empty text; repeated rows stay."""
     held = vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +319,11 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encodes and decodes in one pass over the texts, without a shuffle."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encodes and decodes in one pass over the texts, without a shuffle.
+
+    Null and empty texts have no ids and decode to nothing; repeated rows stay, equal texts have equal ids; a very long text is
+    encoded as a whole; extra columns aren't read; an empty table gives an empty one.
+    """
     held = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

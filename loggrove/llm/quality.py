@@ -98,7 +98,8 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from a bounded sample of labelled rows that aren't held out. Ids with contradicting labels are left out; without labels every score is 0.5.
 
-    A class that the bound cuts weighs in the calibration as much as all its labels, so the threshold doesn't move with the table's size.
+    Null and empty texts teach nothing; repeated rows of an id teach each time; of equal hashes the smaller ids are taken. An empty table, or
+    one class alone, gives a model that scores 0.5 everywhere. A class that the bound cuts weighs in the calibration as much as all its labels, so the threshold doesn't move with the table's size.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))

@@ -151,7 +151,7 @@ _FAST: dict[int, Fast] = {}
 def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and writes docs in ascending order of id (nulls first; rows of one id by their text), each with end_id after it.
 
-    Returns the stored segments (part, at, n_ids, payload): part numbers the ranges of ids, at counts a part's ids before the segment.
+    Null and empty texts have no other id; repeated rows stay; extra columns aren't read. Returns the stored segments (part, at, n_ids, payload): part numbers the ranges of ids, at counts a part's ids before the segment.
     Texts are shuffled once, by range, and sorted within a part; ids only travel into the files.
     """
     spark = docs.sparkSession
@@ -190,6 +190,7 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
 def read(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone. start counts all ids before the document.
 
+    Documents without text have their end id alone; rows of one id follow each other; an empty table gives an empty one.
     The totals of the parts (one small row for each range) are summed in order; their number is that of the write's tasks, so their join may be broadcast.
     """
     from pyspark.sql import Window
