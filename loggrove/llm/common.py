@@ -81,14 +81,14 @@ def join_spread(rows: DataFrame, unique: DataFrame, on: str, n: str = "n", how:
     return hot.unionByName(cold)
 
 
-def join_salted(rows: DataFrame, table: DataFrame, on: str, by: str, keys: DataFrame, limit: float) -> DataFrame:
+def join_salted(rows: DataFrame, table: DataFrame, on: str, by: str, frequent: DataFrame, limit: float) -> DataFrame:
     """rows joined with table (one row for each key, of any size) without sending a frequent key of rows to one task.
 
-    keys: a stored table with the keys of rows, as often as rows has them; limit: frequent_limit() of its rows or more. A
-    frequent key is split by a hash of column `by` into as many parts as keep each below the limit, and its row of table is
-    repeated for each part. Only keys and numbers of parts are broadcast, fewer than FREQUENT_KEYS.
+    frequent: a stored table of the keys (and n, their rows) with more than limit rows, which is frequent_limit() of a table
+    that holds each row or more. Such a key is split by a hash of column `by` into as many parts as keep each below the limit,
+    and its row of table is repeated for each part. Only keys and numbers of parts are broadcast.
     """
-    frequent = F.broadcast(keys.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+    frequent = F.broadcast(frequent.select(on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
     parts_ = F.coalesce("__parts", F.lit(1))
     left = rows.join(frequent, on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts_).cast("int")).drop("__parts")
     right = table.join(frequent, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts_ - 1))).drop("__parts")

@@ -188,13 +188,15 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
                 linked.append(similarity((x, u), (y, v)) >= similar)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, name: str, hot: bool) -> DataFrame:
         """A hub stands in as many pairs as its band has members: its pairs are split, and its shingles repeated for each part."""
         shingles_of = {x: weighed.select(F.col("node").alias(x), F.col("h").alias(f"h{x}"), F.col("w").alias(f"w{x}")) for x in "ab"}
         if hot:
             pairs = common.stored(pairs, f"{name}-pairs")
-            right = common.join_salted(pairs, shingles_of["b"], "b", "a", pairs, limit)
-            full = common.join_salted(right, shingles_of["a"], "a", "b", pairs, limit)
+            counts = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+            frequent = common.stored(counts.where(F.col("n") > limit), f"{name}-frequent")  # hubs, fewer than FREQUENT_KEYS for each band of a signature
+            right = common.join_salted(pairs, shingles_of["b"], "b", "a", frequent.withColumnRenamed("node", "b"), limit)
+            full = common.join_salted(right, shingles_of["a"], "a", "b", frequent.withColumnRenamed("node", "a"), limit)
         else:
             full = pairs.join(shingles_of["b"], "b").join(shingles_of["a"], "a")
         return common.stored(full.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(verify, "a binary, b binary, linked boolean"), name)
@@ -202,20 +204,21 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
     done, more = None, None
     for k in range(hub_rounds + 1):
         if done is None:
-            open_ = members.select("band", "n", "node", F.col("node").alias("component"))
+            labels = members.select("band", "node", F.col("node").alias("component"))
         else:
             united = components_of(done, f"neardup-{k}")
-            open_ = common.stored(members.where("n > 2").join(united, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component")), f"neardup-labels-{k}")
-            several = open_.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "n")
-            open_ = common.stored(at_bands(open_.drop("n"), common.stored(several, f"neardup-several-{k}")), f"neardup-open-{k}")
-            if open_.isEmpty():
-                break
+            labels = common.stored(members.where("n > 2").join(united, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), f"neardup-labels-{k}")
+        # bands whose nodes are in different components, each with its hub: its first node by an order that changes from round to round
+        rank = F.struct(F.xxhash64(F.lit(k), "node"), F.col("node"), F.col("component"))
+        several = labels.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.min(rank).alias("hub")).where("x <> y")
+        several = common.stored(several.select("band", "n", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component")), f"neardup-several-{k}")
+        if k and several.isEmpty():
+            break
+        open_ = at_bands(labels, several)
         if k < hub_rounds:
-            # the hub of a band: its first node by an order that changes from round to round
-            rank = F.struct(F.xxhash64(F.lit(k), "node"), F.col("node"), F.col("component"))
-            hubs = open_.groupBy("band").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).select("band", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"), "n")
-            pairs = at_bands(open_.drop("n"), common.stored(hubs, f"neardup-hubs-{k}")).where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            pairs = open_.where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
+            open_ = common.stored(open_.select("band", "n", "node", "component"), "neardup-open")
             few = open_.where(F.col("n") <= small)
             other = few.select("band", F.col("node").alias("b"), F.col("component").alias("c"))
             pairs = few.join(other, "band").where("component < c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
@@ -223,7 +226,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = verified(pairs, f"neardup-verified-{k}")
+        new = verified(pairs, f"neardup-verified-{k}", hot and k < hub_rounds)  # the last pairs are those of small bands
         done = new if done is None else done.unionByName(new)
     if more is not None:
         done = done.unionByName(more)
