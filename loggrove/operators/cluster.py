@@ -146,9 +146,10 @@ class ClusterTable(LogStorage):
         if failed and (not answers or not query.allow_partial):
             raise NodesUnavailable([self.nodes[k].root for k in failed], stats)
         # only a limit needs an order within each root
-        each = [a.rows if query.limit > 0 else a.unordered for a in answers]
-        rows = reduce(DataFrame.unionByName, each)
-        return Answer(query.first(rows), stats, tuple(o for a in answers if a.stats.blocks_scanned for o in a.seen), rows)
+        if query.limit <= 0:
+            return Answer.of(query, reduce(DataFrame.unionByName, [a.unordered for a in answers]), stats)
+        rows = reduce(DataFrame.unionByName, [a.rows for a in answers])
+        return Answer(query.first(rows), stats, tuple(o for a in answers if a.stats.blocks_scanned for o in a.seen))
 
     def explain(self, query: Query) -> SearchStats:
         """What the roots that are up count, and how many are down."""

@@ -82,19 +82,30 @@ class LogStorage(ABC):
 
 @dataclass
 class Answer:
-    """Rows of a search, and what it opens and skips. run() reads the rows once and completes the statistics from that reading."""
+    """Rows of a search, and what it opens and skips. run() reads the rows once and completes the statistics from that reading.
+
+    unordered: the rows that match, without order and limit, each with the number of its block.
+    """
 
     rows: DataFrame
     stats: SearchStats
     seen: tuple[Observation, ...] = ()
     unordered: DataFrame | None = None
 
+    @staticmethod
+    def of(query: Query, unordered: DataFrame, stats: SearchStats) -> Answer:
+        """Counts what matches: before a limit, but behind a sort without one, for a sort reads its input twice."""
+        seen = Observation()
+        counted = lambda rows: rows.observe(seen, F.count("*").alias("n"), F.approx_count_distinct("block", 0.01).alias("blocks"))
+        rows = query.first(counted(unordered)) if query.limit > 0 else counted(query.first(unordered))
+        return Answer(rows.select("ts_ns", "stream_id", "fields"), stats, (seen,), unordered)
+
     @property
     def is_partial(self) -> bool:
         return self.stats.is_partial
 
     def run(self, action: Callable[[DataFrame], Any] = DataFrame.collect) -> tuple[Any, SearchStats]:
-        """What action makes of the rows, and the statistics with the numbers of rows and blocks that matched (blocks: about)."""
+        """What action makes of the rows (it must read them), and the statistics with the numbers of rows and blocks that matched (blocks: about)."""
         out = action(self.rows)
         if self.stats.blocks_scanned:
             got = [o.get for o in self.seen]
@@ -364,10 +375,7 @@ class LogTable(LogStorage):
 
     def ask(self, query: Query) -> Answer:
         rows, stats = self._matching(query)
-        seen = Observation()
-        block = F.xxhash64(*KEYS)
-        rows = rows.observe(seen, F.count("*").alias("n"), F.approx_count_distinct(block, 0.01).alias("blocks")).select("ts_ns", "stream_id", "fields")
-        return Answer(query.first(rows), stats, (seen,), rows)
+        return Answer.of(query, rows.select("ts_ns", "stream_id", "fields", F.xxhash64(*KEYS).alias("block")), stats)
 
     def _planned(self, query: Query, live: list[Part], parts: list[Part]) -> SearchStats:
         """What heads and index say: no row is read."""

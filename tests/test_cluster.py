@@ -3,7 +3,6 @@
 import time
 
 import pytest
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from loggrove.operators.cluster import ClusterTable, NodesUnavailable
@@ -78,7 +77,7 @@ def test_reroute(spark, tmp_path):
 
 
 def test_a_write_that_fails_goes_elsewhere_and_the_root_cools_off(spark, tmp_path):
-    own = cluster(spark, tmp_path, cool_off=0.5)
+    own = cluster(spark, tmp_path, cool_off=3600.0)
     node, calls = own.nodes[0], []
     flush, manifest = node.flush, node.manifest
 
@@ -95,7 +94,7 @@ def test_a_write_that_fails_goes_elsewhere_and_the_root_cools_off(spark, tmp_pat
     assert calls == [1] and own.rerouted == share and own.rows_of[0] == share and sum(own.rows_of) == 1800
     assert own.ask(Query(*EVER)).rows.count() == 1800
     assert not own.available(0)
-    time.sleep(0.6)
+    own._shut[0] = time.monotonic()
     assert own.available(0)
 
 
@@ -143,7 +142,7 @@ def test_a_limit_is_pushed_to_the_roots(spark, tmp_path):
 
 def test_balance_is_as_predicted(spark):
     """B11."""
-    assert round(predicted_ratio(1000, 1), 3) == 1 and 1.04 < predicted_ratio(8000, 8) < 1.07 and 1.4 < predicted_ratio(20, 2) < 1.6
+    assert predicted_ratio(1000, 1) == 1 and round(predicted_ratio(40, 4), 1) == 1.5 and round(predicted_ratio(4000, 4), 2) == 1.05
     rows = spark.range(40_000).select((F.xxhash64((F.col("id") % 1000))).alias("stream_id"), F.col("id").alias("ts_ns"))
     assert balance(route(rows, 4, Policy.STICKY), 4).first().ratio <= predicted_ratio(1000, 4) + 0.05
 
@@ -156,4 +155,4 @@ def test_filters_across_roots(spark, tmp_path):
     answer = own.ask(Query(*EVER, filters=(Filter("level", "error"),)))
     got, stats = answer.run()
     assert len(got) == rows.where(F.col("fields")["level"] == "error").count() == stats.rows_matched
-    assert Py4JJavaError and stats.nodes_queried == 2
+    assert stats.nodes_queried == 2

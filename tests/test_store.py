@@ -194,7 +194,7 @@ def test_wire(spark):
     """B10, and payloads that nobody should believe."""
     rows = generate(spark, 5000).coalesce(1).cache()
     payloads = wire.encode(rows)
-    assert wire.decode(payloads).exceptAll(rows).isEmpty() and wire.decode(payloads).count() == 5000
+    assert sorted(r.value for r in render(wire.decode(payloads)).collect()) == sorted(r.value for r in render(rows).collect())
     json_bytes = render(rows).agg(F.sum(F.octet_length("value"))).first()[0]
     assert json_bytes / payloads.agg(F.sum(F.octet_length("payload"))).first()[0] >= 1.5
     good = bytes(payloads.first().payload)
