@@ -219,17 +219,19 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
             pairs = open_.where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
             open_ = common.stored(open_.select("band", "n", "node", "component"), "neardup-open")
+            more = in_blocks(open_.where(F.col("n") > small), weighed, similar, block, block_bytes)
             few = open_.where(F.col("n") <= small)
+            if few.isEmpty():
+                break
             other = few.select("band", F.col("node").alias("b"), F.col("component").alias("c"))
             pairs = few.join(other, "band").where("component < c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-            more = in_blocks(open_.where(F.col("n") > small), weighed, similar, block, block_bytes)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         new = verified(pairs, f"neardup-verified-{k}", hot and k < hub_rounds)  # the last pairs are those of small bands
         done = new if done is None else done.unionByName(new)
     if more is not None:
-        done = done.unionByName(more)
+        done = more if done is None else done.unionByName(more)
     united = components_of(done, "neardup-end")
     placed = common.stored(nodes.select("node", "least", F.col("n").alias("rows")).join(united, "node", "left").withColumn("component", F.coalesce("component", "node")), "neardup-placed")
     smallest = common.stored(placed.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("n")), "neardup-classes")
