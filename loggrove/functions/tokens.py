@@ -18,13 +18,14 @@ def distinct_tokens(text: Column | str) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def has_token(text: Column | str, token: str) -> Column:
-    """Whether token is one of the text's tokens. What isn't a token itself (empty, or with a separator) never is."""
+def has_token(text: Column | str, token: str, null: bool = False) -> Column:
+    """Whether token is one of the text's tokens. What isn't a token itself (empty, or with a separator) never is. null: null for a null text, which a filter takes as false and can push to the scan."""
     if not re.fullmatch(TOKEN, token):
         return F.lit(False)
     text = F.col(text) if isinstance(text, str) else text
     # a substring test first: it settles most rows without a regular expression
-    return F.coalesce(text.contains(token) & text.rlike(f"(?<![A-Za-z0-9]){token}(?![A-Za-z0-9])"), F.lit(False))
+    found = text.contains(token) & text.rlike(f"(?<![A-Za-z0-9]){token}(?![A-Za-z0-9])")
+    return found if null else F.coalesce(found, F.lit(False))
 
 
 def register(spark: SparkSession) -> None:

@@ -71,7 +71,7 @@ class Query:
         if self.stream_id is not None:
             out = out & self.predicate_stream()
         for f in self.filters:
-            out = out & has_token((own or {}).get(f.column, F.col("fields")[f.column]), f.token)
+            out = out & has_token((own or {}).get(f.column, F.col("fields")[f.column]), f.token, null=True)
         return out
 
     def predicate_stream(self) -> Column:

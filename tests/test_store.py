@@ -119,7 +119,9 @@ def test_statistics_come_from_heads_index_and_the_reading_itself(spark, tmp_path
     assert len(rows) == stats.rows_matched == exact.rows_matched == 10 and stats.token_true == exact.token_true == stats.token_maybe <= 10
     limited, counted = table.ask(Query(*EVER, limit=7)).run()
     assert len(limited) == 7 and counted.rows_matched == 8000
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     plan = table.search(Query(*EVER, filters=(Filter("level", "error"),)))._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "StringContains(f_level,error)" in plan and "IsNotNull(f_level)" in plan  # a field of its own reaches the scan
     # a field that is constant in a block is decided by the head: the index has no token of it
     index = spark.read.parquet(f"{table.root}/index")
