@@ -246,6 +246,15 @@ class Piece:
             out.append({"start": start, "end": chars})
         return out
 
+    def without(self, d: int, runs: list[tuple[int, int]]) -> str:
+        """Text d less runs of words."""
+        own, zero = self.texts[d], int(self.bounds[d]) - len(self.texts[d]) - 1
+        out, upto = [], 0
+        for h, t in runs:
+            out.append(own[upto : int(self.starts[h]) - zero])
+            upto = int(self.ends[t]) - zero
+        return b"".join([*out, own[upto:]]).decode()
+
 
 _READY: dict[str, Benchmark] = {}
 
@@ -271,19 +280,30 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
     less is broadcast, and no text is shuffled. A larger one is searched block by block, with one pass over the texts for each;
     what they hit is then joined to the texts by id and a hash of the text.
     """
+    return _search(docs, benchmark, False, width, id_col, text_col, item_id, item_text, block_bytes, row)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, cutting: bool, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, row: bool = False) -> DataFrame:
+    """find(), or cut() if cutting: by the worker that has found the hits, since a second one would stay in memory beside it."""
     spark = docs.sparkSession
     extra = [common.packed(docs, (text_col,)).alias("row")] if row else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // block_bytes))
-    made = common.schema(f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}")
+    made = common.schema("doc_id long, text string" if cutting else f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}")
     if row:
-        for f in base.schema.fields[1:]:
+        for f in base.schema.fields[2 if cutting else 1 :]:
             made = made.add(f.name, f.dataType)
-    list_of = {f.name: t for f, t in zip(made.fields[3:5], (pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))}
+    list_of = {"items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
 
     def result(piece: pa.RecordBatch, own: Piece, hit: np.ndarray, ids: list[list[str]], rest: list) -> pa.RecordBatch:
+        """rest: the text as it came, and row, if row is wanted."""
+        if cutting:
+            texts = piece.column(1)
+            if hit.any():
+                texts = pa.array([own.without(d, r) if r else t for d, (t, r) in enumerate(zip(texts.to_pylist(), own.runs(hit)))], pa.string())
+            return pa.RecordBatch.from_arrays([piece.column(0), texts, *rest[1:]], names=made.names)
         spans = [own.spans(d, r) if r else [] for d, r in enumerate(own.runs(hit))]
         n_hit = np.bincount(own.doc[hit], minlength=len(own.texts))
         out = [piece.column(0), pa.array(own.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, list_of["items"]), pa.array(spans, list_of["spans"])]
@@ -347,21 +367,7 @@ def cut(docs: DataFrame, benchmark: DataFrame, row: bool = False, **options) ->
 
     row, nulls, repeats and empty tables: as for find().
     """
-    found = find(docs, benchmark, row=True, **options)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
-                out.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), *batch.columns[3:]], names=made.names)
-
-    found = found.select("doc_id", "text", "spans", *(["row"] if row else []))
-    made = common.schema("doc_id long, text string")
-    if row:
-        made = made.add("row", found.schema["row"].dataType)
-    return found.mapInArrow(run, made)
+    return _search(docs, benchmark, True, row=row, **options)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
