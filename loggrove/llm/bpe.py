@@ -326,6 +326,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
     held = vocabulary(docs.sparkSession, path)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(held.value)
         for batch in batches:

@@ -324,7 +324,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, cutting: bool, width: int = 1
 
     if blocks == 1:
         _, found = searched([tuple(r) for r in items.collect()])  # block_bytes at most
-        return base.mapInArrow(lambda batches: (result(p, own, hit, ids, p.columns[1:] if row else []) for p, own, hit, ids in found(batches)), made)
+        return base.mapInArrow(common.lean(lambda batches: (result(p, own, hit, ids, p.columns[1:] if row else []) for p, own, hit, ids in found(batches))), made)
 
     base = base.withColumn("text_h", F.xxhash64("text"))
     dealt = common.stored(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition("block"), "benchmark")
@@ -332,6 +332,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, cutting: bool, width: int = 1
     for k in range(blocks):
         held, found = searched([tuple(r) for r in dealt.where(F.col("block") == k).select("id", "text").collect()])
 
+        @common.lean
         def only_hit(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
             for piece, own, hit, ids in found(batches):
                 first = np.cumsum(own.n_words) - own.n_words
@@ -346,6 +347,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, cutting: bool, width: int = 1
     both = base.join(merged, base["doc_id"].eqNullSafe(merged["doc_id"]) & (base["text_h"] == merged["text_h"]), "left")
     both = both.select(base["doc_id"], "text", "items", "runs", *(["row"] if row else []))
 
+    @common.lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.pieces(batch, limit=4 * common.PIECE_BYTES):

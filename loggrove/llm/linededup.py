@@ -87,6 +87,7 @@ class Runs:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_h, hashes binary, words array) of each row."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.pieces(batch, limit=4 * common.PIECE_BYTES):
@@ -167,6 +168,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     gone = removals(base.select("doc_id", "text", "text_h"), min_words)
     joined = base.join(gone, base["doc_id"].eqNullSafe(gone["doc_id"]) & (base["text_h"] == gone["text_h"]), "left").select(base["doc_id"], "text", "gone", *(["row"] if row else []))
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.pieces(batch, limit=4 * common.PIECE_BYTES):

@@ -133,6 +133,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
     """
     texts = common.as_texts(docs, id_col, text_col)
 
+    @common.lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _groups(batch):
@@ -160,6 +161,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
 
     members = common.stored(at_bands(members, shared).select("band", "n", "node"), "neardup-members")
 
+    @common.lean
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _groups(batch):
@@ -179,6 +181,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, size: int = SHINGLE, b
     same = texts.withColumn("text_h", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_h") == F.col("own_h"))).select("doc_id", "text", "node")
     weighed = common.stored(same.mapInArrow(weigh, "node binary, h binary, w binary").dropDuplicates(["node"]), "neardup-shingles")
 
+    @common.lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []

@@ -153,6 +153,7 @@ def score(docs: DataFrame, model: Model, row: bool = False) -> DataFrame:
     extra = [common.packed(docs, ("text",)).alias("row")] if row else []
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         sizes = Sizes(model.good, model.bad)

@@ -42,3 +42,27 @@ def test_cut_is_text_less_spans(spark, limit, row):
     got = [Row(*r) for r in out.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert {cut[1] for cut in want} - set(texts) and len(want) == len(texts)
+
+
+def test_lean_returns_freed_memory():
+    """What a worker has freed goes back to the system at the end of its work, and the rows come as they are."""
+    keep = []
+
+    def work(batches):
+        blocks = [bytes(100_000) for _ in range(1000)]
+        keep.extend(bytearray(90_000) for _ in range(3))  # above the freed ones: the heap can't shrink from its end
+        del blocks
+        yield from batches
+
+    before = resident()
+    for _ in work([]):
+        pass
+    freed = resident()
+    assert list(common.lean(work)(iter([1, 2, 3]))) == [1, 2, 3]
+    assert freed - before > 50 and resident() - before < 25
+
+
+def resident():
+    """MB of this process."""
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 / 1e6
